@@ -30,12 +30,6 @@ def tokens(col: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), r"[^\p{L}]+"), "")
 
 
-def md5_bucket(token: Column, buckets: int) -> Column:
-    """Stable bucket of a token: the first 32 bits of its md5, modulo `buckets`."""
-    head = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-    return (head % F.lit(buckets)).cast("int")
-
-
 def strip_whitespace(col: Column) -> Column:
     """Drop leading and trailing whitespace of any kind, not only spaces."""
     return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -5,6 +5,7 @@ None of them shuffles the reviews: tokens are counted inside each row.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspark import config
-from vocspark.functions.text import md5_bucket, tokens
+from vocspark.functions.text import tokens
 
 _ROWS_AT_ONCE = 1024
 
@@ -27,26 +28,29 @@ def embed_hashed(
 ) -> DataFrame:
     """Add a vector of hashed token counts, scaled to length 1 (all zeros without tokens).
 
-    Hashing runs in the JVM; counting the buckets of a row is one numpy call per
-    Arrow batch, linear in the tokens for any `dim`.
+    A token's place is the first 32 bits of its md5 modulo `dim`. Texts are split in
+    the JVM; an Arrow batch hashes each distinct token once and counts with numpy,
+    linear in the tokens for any `dim`. Marked nondeterministic so that filters the
+    optimizer derives from the vector do not compute it again.
     """
 
     @F.arrow_udf("array<float>")
-    def unit_counts(buckets: pa.Array) -> pa.Array:
+    def unit_counts(words: pa.Array) -> pa.Array:
         parts = [
-            _unit_counts(buckets.slice(start, _ROWS_AT_ONCE), dim)
-            for start in range(0, len(buckets), _ROWS_AT_ONCE)
+            _unit_counts(words.slice(start, _ROWS_AT_ONCE), dim)
+            for start in range(0, len(words), _ROWS_AT_ONCE)
         ]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
-    buckets = F.transform(tokens(text), lambda t: md5_bucket(t, dim))
-    return df.withColumn(out, unit_counts(buckets))
+    return df.withColumn(out, unit_counts.asNondeterministic()(tokens(text)))
 
 
-def _unit_counts(buckets: pa.Array, dim: int) -> pa.Array:
-    rows = len(buckets)
-    row_of = pc.list_parent_indices(buckets).to_numpy().astype(np.int64)
-    cell = row_of * dim + buckets.flatten().to_numpy(zero_copy_only=False)
+def _unit_counts(words: pa.Array, dim: int) -> pa.Array:
+    rows = len(words)
+    coded = words.flatten().dictionary_encode()
+    place = np.array([_md5_head(w) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    row_of = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+    cell = row_of * dim + place[coded.indices.to_numpy()]
     counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim)
     length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     unit = np.floor(counts / np.where(length == 0, 1, length) * 1e6 + 0.5) / 1e6
@@ -54,6 +58,10 @@ def _unit_counts(buckets: pa.Array, dim: int) -> pa.Array:
     return pa.ListArray.from_arrays(starts, unit.astype(np.float32).ravel())
 
 
+def _md5_head(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+
+
 def embedding_cells(df: DataFrame, key: str = "review_id", col: str = "embedding") -> DataFrame:
     """Vectors in long form: key, bucket from 0, value."""
     return df.select(key, F.posexplode(col).alias("bucket", "value")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocspark import config
@@ -32,62 +32,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _topic_place() -> Column:
-    return ((F.col("doc_id") * 5) % 12).cast("int")
-
-
-def _topic() -> Column:
-    return F.element_at(F.array(*(F.lit(t) for t in config.TOPICS)), _topic_place() + 1)
-
-
-def _sentiment() -> Column:
-    k, cut = (F.col("doc_id") * 3 + 1) % 7, _topic_place() % 7
-    return (
-        F.when(k < cut, config.NEGATIVE).when(k == cut, config.NEUTRAL).otherwise(config.POSITIVE)
-    )
-
-
-def _response() -> Column:
-    def answer(topic: Column, sentiment: Column) -> Column:
-        return F.concat(F.lit('{"assunto":'), topic, F.lit(',"sentimento":"'), sentiment, F.lit('"}'))
-
-    case = F.col("doc_id") % 23
-    topic, sentiment = F.concat(F.lit('"'), _topic(), F.lit('"')), _sentiment()
-    return (
-        F.when(case == 0, F.lit("{bad"))
-        .when(case == 1, F.lit('{"assunto":"vestido","sentimento":"positivo"}'))
-        .when(case == 2, F.lit('{"assunto":" Cor ","sentimento":"Muito Positivo"}'))
-        .when(case == 3, answer(topic, F.lit("misto")))
-        .when(case == 4, answer(F.lit("null"), sentiment))
-        .otherwise(answer(topic, sentiment))
-    )
+# Topic and sentiment of a document, and what the model answered for it.
+_PLACE = "int(doc_id * 5 % 12)"
+_TOPIC = f"element_at(array({', '.join(repr(t) for t in config.TOPICS)}), {_PLACE} + 1)"
+_SENTIMENT = f"""
+    CASE WHEN (doc_id * 3 + 1) % 7 < {_PLACE} % 7 THEN 'negativo'
+         WHEN (doc_id * 3 + 1) % 7 = {_PLACE} % 7 THEN 'neutro'
+         ELSE 'positivo' END"""
+_ANSWER = """
+    CASE doc_id % 23
+         WHEN 0 THEN '{bad'
+         WHEN 1 THEN '{"assunto":"vestido","sentimento":"positivo"}'
+         WHEN 2 THEN '{"assunto":" Cor ","sentimento":"Muito Positivo"}'
+         WHEN 3 THEN concat('{"assunto":"', topic, '","sentimento":"misto"}')
+         WHEN 4 THEN concat('{"assunto":null,"sentimento":"', sentiment, '"}')
+         ELSE concat('{"assunto":"', topic, '","sentimento":"', sentiment, '"}') END"""
+_REVIEW = {
+    "review_id": "string(doc_id)",
+    "clothing_id": "string(doc_id % 100)",
+    "age": "string(18 + doc_id * 7 % 60)",
+    "title": "if(doc_id % 4 = 0, NULL, source)",
+    "review_text": "CASE doc_id % 25 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE text END",
+    "rating": """
+        CASE WHEN doc_id % 50 = 7 THEN 'x'
+             WHEN sentiment = 'negativo' THEN string(1 + doc_id % 2)
+             WHEN sentiment = 'neutro' THEN '3'
+             ELSE string(4 + doc_id % 2) END""",
+    "recommended": "string(quality)",
+    "positive_feedback_count": "string(n_chars % 30)",
+    "division_name": "lang",
+    "department_name": "if(doc_id % 20 = 3, NULL, lang)",
+    "class_name": "source",
+    "classificacao_json": _ANSWER,
+}
 
 
 def answered_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw reviews, each with the text a model answered for it."""
-    doc = F.col("doc_id")
-    rating = (
-        F.when(doc % 50 == 7, F.lit("x"))
-        .when(_sentiment() == config.NEGATIVE, (1 + doc % 2).cast("string"))
-        .when(_sentiment() == config.NEUTRAL, F.lit("3"))
-        .otherwise((4 + doc % 2).cast("string"))
+    """Raw reviews, each with the text a model answered for it.
+
+    The labels are grouped by document so that the optimizer knows the join adds no
+    rows and leaves it out of every query that does not read `recommended`.
+    """
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    documents = table(spark, sf_dir, "documents").selectExpr(
+        "*", f"{_TOPIC} AS topic", f"{_SENTIMENT} AS sentiment"
     )
-    body = F.when(doc % 25 == 1, F.lit("   ")).when(doc % 25 != 0, F.col("text"))
-    documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return documents.join(labels, "doc_id", "left").select(
-        doc.cast("string").alias("review_id"),
-        (doc % 100).cast("string").alias("clothing_id"),
-        (18 + (doc * 7) % 60).cast("string").alias("age"),
-        F.when(doc % 4 != 0, F.col("source")).alias("title"),
-        body.alias("review_text"),
-        rating.alias("rating"),
-        F.col("quality").cast("string").alias("recommended"),
-        (F.col("n_chars") % 30).cast("string").alias("positive_feedback_count"),
-        F.col("lang").alias("division_name"),
-        F.when(doc % 20 != 3, F.col("lang")).alias("department_name"),
-        F.col("source").alias("class_name"),
-        _response().alias("classificacao_json"),
+    return documents.join(labels, "doc_id", "left").selectExpr(
+        *(f"{rule} AS {name}" for name, rule in _REVIEW.items())
     )
 
 

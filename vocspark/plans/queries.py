@@ -15,7 +15,7 @@ from vocspark.operators import aggregate, clean, infer, models, parse, quality,
 from vocspark.plans import fixtures as fx
 from vocspark.sources import reviews_csv
 from vocspark.sources.scratch import shared_folder
-from vocspark.sources.tables import write_table
+from vocspark.sources.tables import spread, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,8 +88,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.cleaned(spark, sf_dir).select("review_id", "texto_completo")
 
 
+def _spread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_texts(spark, sf_dir), fx.table(spark, sf_dir, "documents"))
+
+
 def embed_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.embedding_cells(infer.embed_hashed(_texts(spark, sf_dir), HASH_DIM))
+    return infer.embedding_cells(infer.embed_hashed(_spread_texts(spark, sf_dir), HASH_DIM))
 
 
 def shape_model() -> models.Model:
@@ -98,7 +102,7 @@ def shape_model() -> models.Model:
 
 
 def embed_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.embedding_cells(models.embed_with_model(_texts(spark, sf_dir), shape_model))
+    return infer.embedding_cells(models.embed_with_model(_spread_texts(spark, sf_dir), shape_model))
 
 
 def _prompts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
@@ -119,7 +123,7 @@ def open_topic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = infer.classify_lexicon(_texts(spark, sf_dir), fx.LEXICON, fx.POLARITY)
+    answered = infer.classify_lexicon(_spread_texts(spark, sf_dir), fx.LEXICON, fx.POLARITY)
     return parse.enrich(answered).select("review_id", "assunto", "sentimento")
 
 
@@ -136,7 +140,7 @@ def length_model() -> models.Model:
 
 
 def classify_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = models.classify_with_model(_texts(spark, sf_dir), length_model)
+    answered = models.classify_with_model(_spread_texts(spark, sf_dir), length_model)
     return parse.enrich(answered).select("review_id", "assunto", "sentimento")
 
 

@@ -45,3 +45,13 @@ def write_table(
 def drop_tables(spark: SparkSession, *names: str) -> None:
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def spread(df: DataFrame, scan: DataFrame, per_split: int = 16) -> DataFrame:
+    """Repartition `df` when the scan it starts from has fewer splits than there are cores.
+
+    For costly per-row work on few or unsplittable files. A scan that already has a
+    split per core is left as it is, so large inputs are never shuffled for this.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(min(cores, max(splits, 1) * per_split))
