@@ -23,8 +23,7 @@ def sentiment_label(
     col: Column, rules: Sequence[tuple[str, str]] = config.SENTIMENT_RULES
 ) -> Column:
     """First rule whose substring occurs decides; nothing matching, or NULL, is undefined."""
-    label = F.coalesce(*(F.when(col.contains(part), F.lit(name)) for part, name in rules))
-    return F.coalesce(label, F.lit(config.UNDEFINED))
+    return _first_match([(col.contains(part), name) for part, name in rules], config.UNDEFINED)
 
 
 def is_sentiment(name: str, col: str = "sentimento") -> Column:
@@ -46,5 +45,12 @@ def band(
     default: str = config.CRITICALITY_DEFAULT,
 ) -> Column:
     """Name of the highest band whose inclusive lower bound is reached."""
-    reached = [F.when(col >= bound, F.lit(name)) for bound, name in bands]
-    return F.coalesce(*reached, F.lit(default))
+    return _first_match([(col >= bound, name) for bound, name in bands], default)
+
+
+def _first_match(cases: Sequence[tuple[Column, str]], default: str) -> Column:
+    (condition, name), *others = cases
+    chain = F.when(condition, name)
+    for condition, name in others:
+        chain = chain.when(condition, name)
+    return chain.otherwise(default)

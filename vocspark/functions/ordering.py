@@ -82,28 +82,31 @@ def numbered(
     """Number all rows in `order` without sorting them in one task.
 
     `levels` are coarse keys, outermost first: ordering by them and then by `order`
-    must equal ordering by `order` alone. A row's number is the size of the
-    earlier groups at each level plus its place in its own innermost group, so only
-    group sizes are ever added up in one task.
+    must equal ordering by `order` alone. A row's number is the size of all earlier
+    groups plus its place in its own group, so one task only adds up group sizes of
+    the outermost level, and any other task one group.
     """
     keys = [f"_level{i}" for i in range(len(levels))]
     keyed = df.withColumns(dict(zip(keys, levels)))
-    out, offset = keyed, F.lit(start - 1)
-    for depth, key in enumerate(keys):
-        outer, upto = keys[:depth], keys[: depth + 1]
-        before = f"_before{depth}"
-        earlier = Window.partitionBy(*outer).orderBy(key).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        sizes = (
-            keyed.groupBy(*upto)
-            .agg(F.count("*").alias("_size"))
-            .withColumn(before, F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-            .drop("_size")
-        )
-        out = out.join(sizes, upto)
-        offset = offset + F.col(before)
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return out.withColumn(name, (offset + place).cast("int")).select(
-        name, *(F.col(c) for c in df.columns)
+    return (
+        keyed.join(_rows_before(sizes, keys), keys)
+        .withColumn(name, (F.col("_before") + place + (start - 1)).cast("int"))
+        .select(name, *df.columns)
+    )
+
+
+def _rows_before(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group, the number of rows in the groups ordered ahead of it."""
+    *outer, inner = keys
+    ahead = Window.partitionBy(*outer).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("_rows").over(ahead), F.lit(0))
+    if not outer:
+        return sizes.select(inner, within.alias("_before"))
+    totals = sizes.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
+    return (
+        sizes.withColumn("_within", within)
+        .join(_rows_before(totals, outer), outer)
+        .select(*keys, (F.col("_before") + F.col("_within")).alias("_before"))
     )

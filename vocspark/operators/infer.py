@@ -144,24 +144,20 @@ def summarise_extractive(samples: DataFrame, terms: int = 3, min_letters: int =
 
     A stand-in that keeps the report runnable and testable without a model.
     """
-    words = samples.select(
-        "assunto",
-        F.explode(F.array_distinct(tokens("texto_completo"))).alias("token"),
-    ).filter(F.length("token") >= min_letters)
-    frequency = words.groupBy("assunto", "token").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("assunto").orderBy(F.desc("n"), F.asc("token"))
+    topic = ["assunto", "qtd_negativos"]
+    long_words = F.filter(
+        F.array_distinct(tokens("texto_completo")), lambda w: F.length(w) >= min_letters
+    )
+    # a review without such words keeps its topic in, as a NULL word
+    words = samples.select(*topic, F.explode_outer(long_words).alias("word"))
+    frequency = words.groupBy(*topic, "word").agg(F.count("word").alias("reviews"))
+    order = Window.partitionBy(*topic).orderBy(F.desc("reviews"), F.asc("word"))
     best = frequency.withColumn("place", F.row_number().over(order)).filter(
         F.col("place") <= terms
     )
-    ordered = F.array_sort(F.collect_list(F.struct("place", "token")))
-    bullets = best.groupBy("assunto").agg(
-        F.transform(ordered, lambda b: F.concat(F.lit("- "), b.token)).alias("bullets")
-    )
+    ranked = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word"))))
+    bullets = F.transform(ranked, lambda b: F.concat(F.lit("- "), b.word))
     closing = F.array(F.concat(F.lit("Revisar: "), F.col("assunto")))
-    lines = F.concat(F.coalesce(F.col("bullets"), F.array().cast("array<string>")), closing)
-    return (
-        samples.select("assunto", "qtd_negativos")
-        .distinct()
-        .join(bullets, "assunto", "left")
-        .select("assunto", "qtd_negativos", F.array_join(lines, "\n").alias("resumo"))
+    return best.groupBy(*topic).agg(
+        F.array_join(F.concat(bullets, closing), "\n").alias("resumo")
     )

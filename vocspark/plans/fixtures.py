@@ -40,13 +40,14 @@ _SENTIMENT = f"""
          WHEN (doc_id * 3 + 1) % 7 = {_PLACE} % 7 THEN 'neutro'
          ELSE 'positivo' END"""
 _ANSWER = """
-    CASE doc_id % 23
-         WHEN 0 THEN '{bad'
-         WHEN 1 THEN '{"assunto":"vestido","sentimento":"positivo"}'
-         WHEN 2 THEN '{"assunto":" Cor ","sentimento":"Muito Positivo"}'
-         WHEN 3 THEN concat('{"assunto":"', topic, '","sentimento":"misto"}')
-         WHEN 4 THEN concat('{"assunto":null,"sentimento":"', sentiment, '"}')
-         ELSE concat('{"assunto":"', topic, '","sentimento":"', sentiment, '"}') END"""
+    if(doc_id % 23 = 0, '{bad', concat(
+        '{"assunto":',
+        CASE doc_id % 23 WHEN 1 THEN '"vestido"' WHEN 2 THEN '" Cor "' WHEN 4 THEN 'null'
+                         ELSE concat('"', topic, '"') END,
+        ',"sentimento":"',
+        CASE doc_id % 23 WHEN 1 THEN 'positivo' WHEN 2 THEN 'Muito Positivo' WHEN 3 THEN 'misto'
+                         ELSE sentiment END,
+        '"}'))"""
 _REVIEW = {
     "review_id": "string(doc_id)",
     "clothing_id": "string(doc_id % 100)",
