@@ -113,7 +113,7 @@ class Layout:
     silver: str = "silver"
     gold: str = "gold"
     fmt: str = "parquet"
-    location: str | None = None  # base folder for table files; None = warehouse
+    location: str | None = None  # base folder of the schemas; None = the warehouse
     buckets: int | None = None  # bucket review-grain tables on review_id
     options: dict[str, str] = field(default_factory=dict)
 

@@ -147,6 +147,24 @@ _CTES = {
                    unnest(regexp_split_to_array(lower(texto_completo), '[^\p{L}]+')) AS token
             FROM cleaned)
         WHERE token <> '')""",
+    "scores": f"""scores AS (
+        SELECT review_id, topic, place, sum(weight) AS score
+        FROM words
+        JOIN (VALUES {_values(fx.LEXICON)}) lexicon(token, topic, weight) USING (token)
+        JOIN topic_list USING (topic)
+        GROUP BY ALL)""",
+    "balance": f"""balance AS (
+        SELECT review_id, sum(sign) AS total
+        FROM words JOIN (VALUES {_values(fx.POLARITY)}) polarity(token, sign) USING (token)
+        GROUP BY review_id)""",
+    "by_words": """by_words AS (
+        SELECT review_id, coalesce(topic, 'outro') AS assunto,
+               CASE WHEN total > 0 THEN 'positivo' WHEN total < 0 THEN 'negativo'
+                    ELSE 'neutro' END AS sentimento
+        FROM cleaned
+        LEFT JOIN (SELECT review_id, arg_max(topic, (score, -place)) AS topic
+                   FROM scores GROUP BY review_id) USING (review_id)
+        LEFT JOIN balance USING (review_id))""",
 }
 _ORDER = list(_CTES)
 _NEEDS = {
@@ -172,6 +190,9 @@ _NEEDS = {
     "summaries": ["sample_words"],
     "kpis": ["gold"],
     "words": ["cleaned"],
+    "scores": ["words", "topic_list"],
+    "balance": ["words"],
+    "by_words": ["scores", "balance"],
 }
 
 
@@ -226,10 +247,18 @@ def oracle_sql() -> dict[str, str]:
     raw_names = ", ".join(fx.RAW_COLUMNS)
     return {
         "csv_roundtrip": _with("reviews_raw", f"SELECT {raw_names} FROM reviews_raw"),
+        "csv_split_roundtrip": _with("reviews_raw", f"SELECT {raw_names} FROM reviews_raw"),
         "sanitized_columns": _with("reviews_raw", f"SELECT {_RAW_AS_HEADERS} FROM reviews_raw"),
         "audit_columns": _with("reviews_raw", """
             SELECT review_id, 'reviews.csv' AS _source_file, TRUE AS has_ts FROM reviews_raw"""),
         "table_roundtrip": _with("gold", "SELECT * FROM gold"),
+        "layered_run": _with("by_words", """
+            SELECT w.assunto, count(*) AS total_reviews,
+                   round(avg(rating)::DECIMAL(18, 6), 2)::DOUBLE AS rating_medio,
+                   round(avg(age)::DECIMAL(18, 6), 1)::DOUBLE AS idade_media,
+                   round((avg((w.sentimento = 'negativo')::INT) * 100)::DECIMAL(18, 6), 1)::DOUBLE
+                       AS pct_negativo
+            FROM cleaned JOIN by_words w USING (review_id) GROUP BY w.assunto"""),
         "preview_rows": _with("gold", """
             SELECT review_id, texto_completo, assunto, sentimento, rating, department_name
             FROM gold ORDER BY review_id::BIGINT LIMIT 10"""),
@@ -264,23 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "classification_prompts": _prompt(config.CLOSED_TOPIC_PROMPT),
         "most_relevant_topic_prompts": _prompt(config.MOST_RELEVANT_TOPIC_PROMPT),
         "open_topic_prompts": _prompt(config.OPEN_TOPIC_PROMPT),
-        "classify_lexicon": _with("words", f"""
-            , lexicon(token, topic, weight) AS (VALUES {_values(fx.LEXICON)}),
-            polarity(token, sign) AS (VALUES {_values(fx.POLARITY)}),
-            scores AS (
-                SELECT review_id, topic, sum(weight) AS score
-                FROM words JOIN lexicon USING (token) GROUP BY ALL),
-            best AS (
-                SELECT review_id, arg_max(topic, (score, -place)) AS topic
-                FROM scores JOIN topic_list USING (topic) GROUP BY review_id),
-            balance AS (
-                SELECT review_id, sum(sign) AS total
-                FROM words JOIN polarity USING (token) GROUP BY review_id)
-            SELECT review_id, coalesce(topic, 'outro') AS assunto,
-                   CASE WHEN total > 0 THEN 'positivo' WHEN total < 0 THEN 'negativo'
-                        ELSE 'neutro' END AS sentimento
-            FROM cleaned LEFT JOIN best USING (review_id)
-                         LEFT JOIN balance USING (review_id)""".lstrip()),
+        "classify_lexicon": _with("by_words", "SELECT * FROM by_words"),
         "classify_callable": _with("cleaned", f"""
             SELECT review_id,
                    {_pick(config.TOPICS, f"{_PROMPT_LENGTH} % {len(config.TOPICS)}")} AS assunto,

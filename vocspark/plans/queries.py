@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from vocspark import config
 from vocspark.functions.labels import json_field
 from vocspark.operators import aggregate, clean, infer, models, parse, quality, rank, report, semantic
 from vocspark.plans import fixtures as fx
+from vocspark.plans import layers
 from vocspark.sources import reviews_csv
 from vocspark.sources.scratch import shared_folder
-from vocspark.sources.tables import spread, write_table
+from vocspark.sources.tables import create_schemas, spread, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,12 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews_csv.read_csv(spark, path)
 
 
+def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "csv")
+    reviews_csv.write_csv(fx.reviews_raw(spark, sf_dir), path)
+    return reviews_csv.read_large_csv(spark, path)
+
+
 def sanitized_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews_csv.sanitize_names(fx.csv_reviews(spark, sf_dir))
 
@@ -45,14 +53,38 @@ def audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save a narrow table, replace it by one with another schema, and scan it by name."""
-    folder = shared_folder(spark, "tables")
-    layout = config.Layout(location=folder)
-    name = f"default.voc_{folder.rsplit('-', 1)[1]}"
+    layout = _scratch_layout(spark)
+    name = layout.table("gold", "reviews_classified")
     gold = fx.gold(spark, sf_dir)
     write_table(aggregate.topic_counts(gold), name, layout)
     return write_table(gold, name, layout)
 
 
+def _scratch_layout(spark: SparkSession) -> config.Layout:
+    """Schemas of their own, in a fresh shared folder."""
+    folder = shared_folder(spark, "tables")
+    run = folder.rsplit("-", 1)[1]
+    layout = config.Layout(
+        f"bronze_{run}", f"silver_{run}", f"gold_{run}", location=folder
+    )
+    create_schemas(spark, layout)
+    return layout
+
+
+def layered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review file to topic summary through all stored layers, with the word-list classifier."""
+    path = shared_folder(spark, "csv")
+    reviews_csv.write_csv(fx.csv_reviews(spark, sf_dir), path)
+    models_used = layers.Models(
+        embed=partial(infer.embed_hashed, dim=HASH_DIM),
+        classify=partial(infer.classify_lexicon, lexicon=fx.LEXICON, polarity=fx.POLARITY),
+        summarise=infer.summarise_extractive,
+    )
+    layout = _scratch_layout(spark)
+    layers.run(spark, path, models_used, layout, sample=None)
+    return spark.table(layout.table("gold", "assunto_resumo"))
+
+
 def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "csv")
     reviews_csv.write_csv(fx.csv_reviews(spark, sf_dir), path)
@@ -273,9 +305,11 @@ def _over(view: Query, operator: Callable[..., DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "csv_roundtrip": csv_roundtrip,
+        "csv_split_roundtrip": csv_split_roundtrip,
         "sanitized_columns": sanitized_columns,
         "audit_columns": audit_columns,
         "table_roundtrip": table_roundtrip,
+        "layered_run": layered_run,
         "preview_rows": _over(fx.gold, rank.preview),
         "rename_cast": rename_cast,
         "nonblank_reviews": nonblank_reviews,

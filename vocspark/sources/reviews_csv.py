@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocspark import config
@@ -22,8 +22,76 @@ def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return df.repartition(partitions) if partitions else df
 
 
+def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What `read_csv` returns, from files too large for one task each.
+
+    Lines are read in ordinary file splits. A line starts a record when the quotes
+    ahead of it in its file pair up: quotes are added up per split, the few split
+    totals are put in order, and each split's lines then know their record number. The
+    lines of a record are joined and parsed as CSV. Quotes must occur in quoted values
+    only, as RFC 4180 has it and as `write_csv` writes.
+    """
+    names = spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path).columns
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+        (quotes % 2).alias("odd"),
+        F.col("value").isin("", "\r").alias("blank"),
+        F.col("value").endswith("\r").alias("returned"),
+    )
+    in_split = Window.partitionBy("file", "split").orderBy("line")
+    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    # `turned`: is the number of quotes between the start of the split and this line odd?
+    turned = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    lines = lines.withColumn("turned", turned)
+
+    def starts(inside_at_start: Column) -> Column:
+        return (F.col("turned") == inside_at_start) & ~F.col("blank")
+
+    splits = lines.groupBy("file", "split").agg(
+        (F.sum("odd") % 2).alias("odd"),
+        F.count_if(starts(F.lit(0))).alias("if_outside"),
+        F.count_if(starts(F.lit(1))).alias("if_inside"),
+        F.min_by("returned", "line").alias("crlf"),
+    )
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("inside", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2)
+    begun = F.when(F.col("inside") == 0, F.col("if_outside")).otherwise(F.col("if_inside"))
+    splits = splits.withColumn("begun", begun).select(
+        "file",
+        "split",
+        "inside",
+        F.coalesce(F.sum("begun").over(ahead), F.lit(0)).alias("before"),
+        # the first line of a file shows how all its lines end
+        F.first("crlf").over(Window.partitionBy("file").orderBy("split")).alias("crlf"),
+    )
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starting = starts(F.col("inside"))
+    records = (
+        lines.join(splits, ["file", "split"])
+        .withColumn("record", F.col("before") + F.sum(starting.cast("int")).over(so_far))
+        .filter(~F.col("blank") | (F.col("turned") != F.col("inside")))
+        .groupBy("file", "record", "crlf")
+        .agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("lines"))
+        .filter(F.col("record") > 1)  # the first record of a file is its header
+    )
+    text = F.array_join(F.transform("lines", lambda x: x.value), "\n")
+    as_lf = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\r$", "")
+    text = F.when(F.col("crlf"), as_lf).otherwise(text)
+    schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+    options = {k: v for k, v in CSV_OPTIONS.items() if k in ("quote", "escape")}
+    row = F.from_csv(text, schema, {**options, "multiLine": "true"})
+    return records.select(row.alias("row")).select("row.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write files that `read_csv` returns unchanged, outer spaces included."""
+    """Write files that `read_csv` returns unchanged, outer spaces included.
+
+    Only an empty string is not told from NULL: it comes back as NULL.
+    """
     df.write.options(
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **{
             k: v for k, v in CSV_OPTIONS.items() if k != "inferSchema"

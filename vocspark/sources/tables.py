@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +10,10 @@ from vocspark.config import Layout
 
 
 def create_schemas(spark: SparkSession, layout: Layout) -> None:
+    """Create the layers' schemas, below `layout.location` where that is set."""
     for name in dict.fromkeys((layout.bronze, layout.silver, layout.gold)):
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+        place = f" LOCATION '{layout.location.rstrip('/')}/{name}'" if layout.location else ""
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{place}")
 
 
 def write_table(
@@ -36,12 +38,32 @@ def write_table(
         writer = writer.bucketBy(layout.buckets, bucket_by).sortBy(bucket_by)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if layout.location is not None:
-        writer = writer.option("path", f"{layout.location.rstrip('/')}/{name.replace('.', '/')}")
     writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
+def fill_missing(
+    source: DataFrame,
+    job: Callable[[DataFrame], DataFrame],
+    name: str,
+    layout: Layout = Layout(),
+    key: str = "review_id",
+    bucket_by: str | None = None,
+) -> DataFrame:
+    """Run `job` only for the keys the table does not hold yet, and append the result.
+
+    A run that was cut short is repeated without asking a model again for the rows
+    already stored.
+    """
+    spark = source.sparkSession
+    if not spark.catalog.tableExists(name):
+        return write_table(job(source), name, layout, bucket_by=bucket_by)
+    missing = source.join(spark.table(name).select(key), key, "left_anti")
+    # Restore the column order of the table: append goes by position.
+    result = job(missing).select(*spark.table(name).columns)
+    return write_table(result, name, layout, mode="append", bucket_by=bucket_by)
+
+
 def drop_tables(spark: SparkSession, *names: str) -> None:
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
