@@ -1 +1,9 @@
 """vocspark: voice-of-customer analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with the job, so that it need not
+# be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

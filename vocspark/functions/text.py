@@ -27,7 +27,7 @@ def full_text(title: str | Column, body: str | Column, skip_empty_title: bool =
 
 def tokens(col: str | Column) -> Column:
     """Lower-case runs of letters, in order, with repetition."""
-    return F.array_remove(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), r"[^\p{L}]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), r"\P{L}++"), "")
 
 
 def strip_whitespace(col: Column) -> Column:

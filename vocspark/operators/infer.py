@@ -6,7 +6,7 @@ None of them shuffles the reviews: tokens are counted inside each row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from vocspark import config
 from vocspark.functions.text import tokens
 
-_ROWS_AT_ONCE = 1024
+_CELLS_AT_ONCE = 1 << 22
+_WORDS_REMEMBERED = 1 << 20
 
 
 def embed_hashed(
@@ -29,26 +30,29 @@ def embed_hashed(
     """Add a vector of hashed token counts, scaled to length 1 (all zeros without tokens).
 
     A token's place is the first 32 bits of its md5 modulo `dim`. Texts are split in
-    the JVM; an Arrow batch hashes each distinct token once and counts with numpy,
-    linear in the tokens for any `dim`. Marked nondeterministic so that filters the
+    the JVM; numpy counts an Arrow batch at a time, linear in the tokens for any `dim`,
+    and each distinct token is hashed once. Marked nondeterministic so that filters the
     optimizer derives from the vector do not compute it again.
     """
 
     @F.arrow_udf("array<float>")
-    def unit_counts(words: pa.Array) -> pa.Array:
-        parts = [
-            _unit_counts(words.slice(start, _ROWS_AT_ONCE), dim)
-            for start in range(0, len(words), _ROWS_AT_ONCE)
-        ]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+    def unit_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places: dict[str, int] = {}
+        step = max(1, _CELLS_AT_ONCE // dim)
+        for words in batches:
+            parts = [
+                _unit_counts(words.slice(start, step), dim, places)
+                for start in range(0, len(words), step)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     return df.withColumn(out, unit_counts.asNondeterministic()(tokens(text)))
 
 
-def _unit_counts(words: pa.Array, dim: int) -> pa.Array:
+def _unit_counts(words: pa.Array, dim: int, places: dict[str, int]) -> pa.Array:
     rows = len(words)
     coded = words.flatten().dictionary_encode()
-    place = np.array([_md5_head(w) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    place = np.array(_places(coded.dictionary.to_pylist(), dim, places), dtype=np.int64)
     row_of = pc.list_parent_indices(words).to_numpy().astype(np.int64)
     cell = row_of * dim + place[coded.indices.to_numpy()]
     counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim)
@@ -58,8 +62,15 @@ def _unit_counts(words: pa.Array, dim: int) -> pa.Array:
     return pa.ListArray.from_arrays(starts, unit.astype(np.float32).ravel())
 
 
-def _md5_head(word: str) -> int:
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+def _places(words: list[str], dim: int, known: dict[str, int]) -> list[int]:
+    """Places of the words; `known` remembers them within a task, up to a fixed size."""
+    if len(known) > _WORDS_REMEMBERED:
+        known.clear()
+    for word in words:
+        if word not in known:
+            head = hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4]
+            known[word] = int.from_bytes(head, "big") % dim
+    return [known[word] for word in words]
 
 
 def embedding_cells(df: DataFrame, key: str = "review_id", col: str = "embedding") -> DataFrame:
@@ -83,15 +94,12 @@ def classify_lexicon(
     earlier topic of the list, no hit to the fallback. The sign of the summed polarity
     gives the sentiment.
     """
-    scored = df.withColumn("_tokens", tokens(text)).withColumns(
-        {
-            "_topic_hits": _hits(F.col("_tokens"), [w for w, _, _ in lexicon]),
-            "_polar_hits": _hits(F.col("_tokens"), [w for w, _ in polarity]),
-        }
-    )
+    listed = dict.fromkeys([w for w, _, _ in lexicon] + [w for w, _ in polarity])
+    heard = F.filter(tokens(text), lambda word: word.isin(*listed))
+    scored = df.withColumn("_heard", heard)
     candidates = [
         F.struct(
-            _summed(F.col("_topic_hits"), {w: n for w, t, n in lexicon if t == topic}).alias("score"),
+            _weight("_heard", {w: n for w, t, n in lexicon if t == topic}).alias("score"),
             F.lit(-place).alias("place"),
             F.lit(topic).alias("assunto"),
         )
@@ -100,7 +108,7 @@ def classify_lexicon(
     scored = scored.withColumns(
         {
             "_best": F.array_max(F.array(*candidates)),
-            "_balance": _summed(F.col("_polar_hits"), dict(polarity)),
+            "_balance": _weight("_heard", dict(polarity)),
         }
     )
     topic = F.when(F.col("_best.score") > 0, F.col("_best.assunto")).otherwise(
@@ -112,31 +120,16 @@ def classify_lexicon(
         .otherwise(config.NEUTRAL)
     )
     answer = F.to_json(F.struct(topic.alias("assunto"), sentiment.alias("sentimento")))
-    return scored.withColumn(out, answer).drop(
-        "_tokens", "_topic_hits", "_polar_hits", "_best", "_balance"
-    )
+    return scored.withColumn(out, answer).drop("_heard", "_best", "_balance")
 
 
-def _hits(words: Column, listed: Sequence[str]) -> Column:
-    """The listed words that occur, each with its number of occurrences."""
-    found = F.array_intersect(words, F.array(*(F.lit(w) for w in dict.fromkeys(listed))))
-    return F.transform(
-        found,
-        lambda w: F.struct(
-            w.alias("word"),
-            (F.size(words) - F.size(F.array_remove(words, w))).cast("bigint").alias("n"),
-        ),
-    )
-
-
-def _summed(hits: Column, weights: dict[str, int]) -> Column:
+def _weight(words: str, weights: dict[str, int]) -> Column:
+    """Summed weight of an array of words; words without a weight count 0."""
     zero = F.lit(0).cast("bigint")
     if not weights:
         return zero
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    return F.aggregate(
-        hits, zero, lambda total, h: total + h.n * F.coalesce(table[h.word], F.lit(0))
-    )
+    return F.aggregate(words, zero, lambda total, w: total + F.coalesce(table[w], F.lit(0)))
 
 
 def summarise_extractive(samples: DataFrame, terms: int = 3, min_letters: int = 4) -> DataFrame:
