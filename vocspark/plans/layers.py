@@ -18,7 +18,13 @@ from vocspark.operators.clean import bounded_sample, clean_reviews
 from vocspark.operators.curate import classified_reviews
 from vocspark.operators.parse import enrich
 from vocspark.sources import reviews_csv
-from vocspark.sources.tables import create_schemas, drop_tables, fill_missing, write_table
+from vocspark.sources.tables import (
+    create_schemas,
+    drop_tables,
+    fill_missing,
+    spread,
+    write_table,
+)
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -81,7 +87,8 @@ def _model_stage(
     spark: SparkSession, job: Job, source: str, target: str, layout: Layout, resume: bool
 ) -> DataFrame:
     """Run a model job from one silver table into another; `resume` keeps what is stored."""
-    rows, name = spark.table(layout.table("silver", source)), layout.table("silver", target)
+    scan, name = spark.table(layout.table("silver", source)), layout.table("silver", target)
+    rows = spread(scan, scan)  # a sample or a single file would keep one core busy
     if resume:
         return fill_missing(rows, job, name, layout, bucket_by="review_id")
     return write_table(job(rows), name, layout, bucket_by="review_id")
