@@ -96,6 +96,25 @@ def test_first_rows_equals_sort_and_cut(spark, n):
     assert sorted(int(r.review_id) for r in got.collect()) == list(range(min(n, 1500)))
 
 
+@pytest.mark.parametrize("n", [1, 13, 500, 2000])
+def test_first_wide_rows_equals_sort_and_cut(spark, n):
+    df = scattered(spark, 1500).withColumn("wide", F.repeat("review_id", 50))
+    got = ordering.first_wide_rows(df, n, ordering.review_key(), ["review_id"])
+    assert got.columns == ["review_id", "wide"]
+    assert sorted(int(r.review_id) for r in got.collect()) == list(range(min(n, 1500)))
+
+
+def test_first_wide_rows_cuts_ties_and_orders_text_last(spark):
+    ids = ["7"] * 400 + ["3", "b", "a"]
+    df = spark.createDataFrame([(i,) for i in ids], "review_id string").repartition(5)
+    first = lambda n: sorted(
+        r.review_id for r in
+        ordering.first_wide_rows(df, n, ordering.review_key(), ["review_id"]).collect())
+    assert first(20) == ["3"] + ["7"] * 19
+    assert first(402) == ["3"] + ["7"] * 400 + ["a"]
+    assert ordering.first_wide_rows(df.limit(0), 5, ordering.review_key(), ["review_id"]).count() == 0
+
+
 def test_first_rows_with_one_hot_key(spark):
     df = spark.range(1000).selectExpr("'7' AS review_id").union(
         spark.range(5).selectExpr("string(id)")).repartition(5)

@@ -21,6 +21,12 @@ def review_order(col: str = "review_id") -> list[Column]:
     return [F.col(col).try_cast("bigint").asc_nulls_last(), F.col(col).asc()]
 
 
+def review_key(col: str = "review_id") -> Column:
+    """One column that sorts like `review_order`."""
+    number = F.col(col).try_cast("bigint")
+    return F.struct(number.isNull().alias("text"), number.alias("number"), F.col(col).alias("id"))
+
+
 def first_rows(df: DataFrame, n: int, order: Sequence[Column], spread: Sequence[str]) -> DataFrame:
     """The first n rows in `order`; `spread` names columns to distribute candidates by."""
     candidates = _first_of_each_partition(df, n, order)
@@ -38,6 +44,19 @@ def _first_of_each_partition(df: DataFrame, n: int, order: Sequence[Column]) ->
     )
 
 
+def first_wide_rows(df: DataFrame, n: int, order_key: Column, spread: Sequence[str]) -> DataFrame:
+    """`first_rows` by one column, for many or wide rows: only the keys take part in the search.
+
+    The n-th key is found from the keys alone; rows past it are then filtered out
+    where they are read. Rows that tie with it are cut to exactly n in all.
+    """
+    keys = first_rows(
+        df.select(order_key.alias("_key"), *spread), n, [F.asc("_key")], [*spread]
+    )
+    last = keys.agg(F.max("_key")).scalar()
+    return first_rows(df.filter(order_key <= last), n, [order_key.asc()], spread)
+
+
 def first_rows_per_group(
     df: DataFrame,
     n: int,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark import config
-from vocspark.functions.ordering import first_rows, review_order
+from vocspark.functions.ordering import first_wide_rows, review_key
 from vocspark.functions.text import full_text, has_text
 
 
@@ -45,5 +45,5 @@ def bounded_sample(
     """
     if n is None:
         return df
-    sample = first_rows(df, n, review_order(), spread=["review_id"])
+    sample = first_wide_rows(df, n, review_key(), spread=["review_id"])
     return sample.repartition(partitions, "review_id") if partitions else sample

@@ -102,8 +102,12 @@ def summarise_with_model(
     samples: DataFrame,
     make_model: Callable[[int], Model],
     max_tokens: int = config.SUMMARY_MAX_TOKENS,
+    at_once: int = config.TOP_TOPICS,
 ) -> DataFrame:
-    """Summaries written by a model; `make_model` is given the token limit."""
-    prompts = summary_prompts(samples).repartition("assunto")
+    """Summaries written by a model, `at_once` topics side by side.
+
+    `make_model` is given the token limit.
+    """
+    prompts = summary_prompts(samples).repartition(at_once)
     answered = apply_model(prompts, lambda: make_model(max_tokens), "prompt", "resumo", "string")
     return answered.select("assunto", "qtd_negativos", "resumo")

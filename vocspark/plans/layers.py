@@ -66,7 +66,9 @@ def silver_clean(
 ) -> DataFrame:
     cleaned = clean_reviews(spark.table(layout.table("bronze", "reviews")))
     wanted = bounded_sample(cleaned, sample, partitions)
-    return write_table(wanted, layout.table("silver", "reviews_limpo"), layout)
+    return write_table(
+        wanted, layout.table("silver", "reviews_limpo"), layout, bucket_by="review_id"
+    )
 
 
 def silver_embeddings(

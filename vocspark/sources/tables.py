@@ -70,10 +70,14 @@ def drop_tables(spark: SparkSession, *names: str) -> None:
 
 
 def spread(df: DataFrame, scan: DataFrame, per_split: int = 16) -> DataFrame:
-    """Repartition `df` when the scan it starts from has fewer splits than there are cores.
+    """Repartition `df` when the scan it starts from would leave cores idle.
 
-    For costly per-row work on few or unsplittable files. A scan that already has a
-    split per core is left as it is, so large inputs are never shuffled for this.
+    For costly per-row work on few or unsplittable files. Spark cuts small files into
+    about one split per core even where a file's only row group falls into one of
+    them, so enough work is a file per core or, for large files, two splits per core.
+    Such inputs are left as they are: nothing large is shuffled for this.
     """
     cores, splits = df.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(min(cores, max(splits, 1) * per_split))
+    if splits >= 2 * cores or (len(scan.inputFiles()) or splits) >= cores:
+        return df
+    return df.repartition(min(cores, max(splits, 1) * per_split))
