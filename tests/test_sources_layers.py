@@ -59,6 +59,32 @@ def test_large_csv_equals_plain_reader(spark, tmp_path, newline, split_bytes):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 8
 
 
+@pytest.mark.parametrize("row", [
+    '1,5" heel,x\n2,b,y\n', '1,b",x\n2,c,y\n', '1,"b"c,x\n', '1,a,"open\n2,b,c\n', '1,"a" ,x\n'])
+def test_large_csv_refuses_stray_quotes(spark, tmp_path, row):
+    path = tmp_path / "stray.csv"
+    path.write_text("id,a,b\n" + row)
+    with pytest.raises(Exception, match="quote outside a quoted value"):
+        reviews_csv.read_large_csv(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("row", [
+    '1,"""x""",\n', '1,"",""\n', '1,""",b",""""\n', '1,"a "", b","c\n"",\n"\n', '"1",a""b,"x"\n'])
+def test_large_csv_accepts_quoted_values(spark, tmp_path, row):
+    path = tmp_path / "fine.csv"
+    path.write_text("id,a,b\n" + row + '2,"p\nq",r\n')
+    got = tuples(reviews_csv.read_large_csv(spark, str(path)), "id")
+    assert got == tuples(reviews_csv.read_csv(spark, str(path)), "id") and len(got) == 2
+
+
+def test_read_reviews_picks_the_reader_by_file_size(spark, csv_file):
+    size = len(CSV.encode())
+    plain = reviews_csv.read_reviews(spark, csv_file, large_over=size)
+    large = reviews_csv.read_reviews(spark, csv_file, large_over=size - 1)
+    assert "Aggregate" not in plan(plain) and "Aggregate" in plan(large)
+    assert tuples(plain, "_c0") == tuples(large, "_c0")
+
+
 def test_names_and_audit(spark, csv_file):
     df = reviews_csv.sanitize_names(reviews_csv.read_csv(spark, csv_file))
     assert df.columns == list(config.RENAMES)
@@ -133,8 +159,8 @@ def test_spread_only_where_splits_are_few(spark):
     assert tables.spread(many, many) is many
 
 
-@pytest.mark.parametrize("large, buckets", [(False, None), (True, 2)])
-def test_layers_end_to_end(spark, tmp_path, csv_file, large, buckets):
+@pytest.mark.parametrize("large_over, buckets", [(1 << 30, None), (0, 2)])
+def test_layers_end_to_end(spark, tmp_path, csv_file, large_over, buckets):
     asked = spark.sparkContext.accumulator(0)
 
     def make():
@@ -148,8 +174,8 @@ def test_layers_end_to_end(spark, tmp_path, csv_file, large, buckets):
         classify=partial(models.classify_with_model, make_model=make),
         summarise=infer.summarise_extractive,
     )
-    layout = layout_in(spark, tmp_path / "db", f"run_{int(large)}", buckets=buckets)
-    run = partial(layers.run, spark, csv_file, used, layout, sample=2, partitions=2, large_files=large)
+    layout = layout_in(spark, tmp_path / "db", f"run_{buckets}", buckets=buckets)
+    run = partial(layers.run, spark, csv_file, used, layout, sample=2, partitions=2, large_over=large_over)
     run()
     assert asked.value == 2
     bronze = spark.table(layout.table("bronze", "reviews"))

@@ -47,11 +47,10 @@ def bronze(
     path: str,
     layout: Layout = Layout(),
     source_file: str | None = None,
-    large_files: bool = False,
+    large_over: int = reviews_csv.LARGE_FILE,
 ) -> DataFrame:
     """Load the file as it is, with safe names and audit columns; row counts must agree."""
-    read = reviews_csv.read_large_csv if large_files else reviews_csv.read_csv
-    source = reviews_csv.sanitize_names(read(spark, path))
+    source = reviews_csv.sanitize_names(reviews_csv.read_reviews(spark, path, large_over))
     audited = reviews_csv.add_audit(source, source_file or path.rstrip("/").rsplit("/", 1)[-1])
     table = write_table(audited, layout.table("bronze", "reviews"), layout)
     quality.require_equal_counts(source, table)
@@ -151,12 +150,12 @@ def run(
     layout: Layout = Layout(),
     sample: int | None = config.DEFAULT_SAMPLE,
     partitions: int | None = None,
-    large_files: bool = False,
+    large_over: int = reviews_csv.LARGE_FILE,
     resume: bool = False,
 ) -> None:
     """All stages in order."""
     create_schemas(spark, layout)
-    bronze(spark, path, layout, large_files=large_files)
+    bronze(spark, path, layout, large_over=large_over)
     silver_clean(spark, layout, sample, partitions)
     silver_embeddings(spark, models.embed, layout, resume)
     silver_responses(spark, models.classify, layout, resume)

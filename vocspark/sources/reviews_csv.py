@@ -10,6 +10,8 @@ from vocspark import config
 # A quote inside a quoted value is written twice, and a value may span lines.
 CSV_OPTIONS = {"header": "true", "inferSchema": "false", "quote": '"', "escape": '"'}
 
+LARGE_FILE = 1 << 30
+
 
 def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """All columns as strings. `path` may be a file, a folder or a glob.
@@ -22,6 +24,13 @@ def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return df.repartition(partitions) if partitions else df
 
 
+def read_reviews(spark: SparkSession, path: str, large_over: int = LARGE_FILE) -> DataFrame:
+    """`read_csv`, or `read_large_csv` when a file has more than `large_over` bytes."""
+    sizes = spark.read.format("binaryFile").load(path).select("length")  # contents stay unread
+    largest = sizes.agg(F.max("length")).first()[0] or 0
+    return (read_large_csv if largest > large_over else read_csv)(spark, path)
+
+
 def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
     """What `read_csv` returns, from files too large for one task each.
 
@@ -29,7 +38,8 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
     ahead of it in its file pair up: quotes are added up per split, the few split
     totals are put in order, and each split's lines then know their record number. The
     lines of a record are joined and parsed as CSV. Quotes must occur in quoted values
-    only, as RFC 4180 has it and as `write_csv` writes.
+    only, as RFC 4180 has it and as `write_csv` writes; a stray one would shift the
+    records, so it fails the job.
     """
     names = spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path).columns
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -81,6 +91,11 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
     text = F.array_join(F.transform("lines", lambda x: x.value), "\n")
     as_lf = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\r$", "")
     text = F.when(F.col("crlf"), as_lf).otherwise(text)
+    # what is left without doubled quotes and quoted values may hold no quote
+    values = F.replace(text, F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(values, r'(?<![^,])"[^"]*+"(?![^,])', "")
+    stray = F.raise_error(F.lit("quote outside a quoted value; use read_csv for this file"))
+    text = F.when(bare.contains('"'), stray.cast("string")).otherwise(text)
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
     options = {k: v for k, v in CSV_OPTIONS.items() if k in ("quote", "escape")}
     row = F.from_csv(text, schema, {**options, "multiLine": "true"})
