@@ -88,18 +88,21 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("lines"))
         .filter(F.col("record") > 1)  # the first record of a file is its header
     )
-    text = F.array_join(F.transform("lines", lambda x: x.value), "\n")
-    as_lf = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\r$", "")
-    text = F.when(F.col("crlf"), as_lf).otherwise(text)
-    # what is left without doubled quotes and quoted values may hold no quote
-    values = F.replace(text, F.lit('""'), F.lit(""))
+    joined = F.array_join(F.transform("lines", lambda x: x.value), "\n")
+    as_lf = F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"\r$", "")
+    # what is left without doubled quotes and well placed quoted values may hold no quote
+    values = F.replace("text", F.lit('""'), F.lit(""))
     bare = F.regexp_replace(values, r'(?<![^,])"[^"]*+"(?![^,])', "")
     stray = F.raise_error(F.lit("quote outside a quoted value; use read_csv for this file"))
-    text = F.when(bare.contains('"'), stray.cast("string")).otherwise(text)
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
     options = {k: v for k, v in CSV_OPTIONS.items() if k in ("quote", "escape")}
-    row = F.from_csv(text, schema, {**options, "multiLine": "true"})
-    return records.select(row.alias("row")).select("row.*")
+    return (
+        records.select("crlf", joined.alias("text"))
+        .select(F.when(F.col("crlf"), as_lf).otherwise(F.col("text")).alias("text"))
+        .select(F.when(bare.contains('"'), stray.cast("string")).otherwise(F.col("text")).alias("text"))
+        .select(F.from_csv("text", schema, {**options, "multiLine": "true"}).alias("row"))
+        .select("row.*")
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
