@@ -63,8 +63,8 @@ def test_classified_reviews_gate(spark, gold, enforce, kept):
     rows = [("1", "cor", "positivo"), ("2", "vestido", "neutro"), ("3", None, "positivo"),
             ("4", "cor", "indefinido")]
     labels = spark.createDataFrame(rows, "review_id string, assunto string, sentimento string")
-    rest = gold.drop("review_id", "assunto", "sentimento").limit(1)
-    df = labels.join(rest, F.lit(True)).withColumn("embedding", F.array(F.lit(1.0)))
+    other = {c: F.lit(1) for c in gold.columns if c not in labels.columns}
+    df = labels.withColumns(other).withColumn("embedding", F.array(F.lit(1.0)))
     got = curate.classified_reviews(df, enforce_domain=enforce)
     assert sorted(r.review_id for r in got.collect()) == kept
     assert tuple(got.columns) == config.CLASSIFIED_COLUMNS
