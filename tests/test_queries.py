@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tests.conftest import optimized, tuples
 from tools.check import connect, rows_of
 from vocspark.plans import fixtures as fx
+from vocspark.plans import oracles
 from vocspark.plans.queries import queries
 
 SMALL, MIDDLE, LARGE = (f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1"))
@@ -27,7 +28,7 @@ def test_matches_sql(spark, duck, key):
 
 
 def test_only_the_map_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"semantic_map"}
+    assert set(queries()) - set(oracles.oracle_sql()) == {"semantic_map"}
 
 
 def test_entry(spark):

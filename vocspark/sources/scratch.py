@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ _local: list[str] = []
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path under the cluster's checkpoint folder.
 
-    The cluster names that shared folder in `spark.checkpoint.dir`. Only where it is
-    unset, as in a local session, is a folder of this machine used.
+    The cluster names that shared folder in `spark.checkpoint.dir`. Where it is unset, a
+    folder of this machine serves a local session; on a cluster that is an error, since
+    every executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder for master {master}")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="vocspark-"))
         base = _local[0]
