@@ -18,12 +18,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import shuffle_partitions, stored
 
-DEPTH = 4
+DEPTH = 6
 END_WORD = "\n"
 _CHUNK = 1 << 21
 _LOG_HALF = math.log(0.5)
@@ -196,7 +197,7 @@ def _score(texts: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.
     values = answers.column("value").to_numpy()
     is_gram = np.fromiter((w is None for w in names), bool, len(names))
     count = {w.encode(): int(v) for w, v in zip(names, values) if w is not None}
-    keys = answers.column("gram").to_numpy(zero_copy_only=False)[is_gram].astype(np.int64)
+    keys = pc.fill_null(answers.column("gram"), 0).to_numpy()[is_gram]
     order = np.argsort(keys)
     keys, logs = keys[order], values[is_gram][order]
     scale = total + 0.1 * (distinct + 1)
