@@ -148,7 +148,7 @@ def _code(table: pa.Table, upper) -> pa.Table:
         one = own * _kt_one(level.n0, level.n1)[level.place] + (1 - own) * one
     one = up["w1"][near, node] * up["p1"][near, node] + (1 - up["w1"][near, node]) * one
     one = up["w0"][node] * up["p0"][node] + (1 - up["w0"][node]) * one
-    return pa.table({"gram": pa.array(gram), "value": pa.array(
+    return pa.table({"gram": pa.array(gram), "parts": table.column("parts"), "value": pa.array(
         np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1))})
 
 
@@ -230,21 +230,23 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
         "part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shuffle_partitions(spark))).cast("int"))
     asked = stored(dealt.groupBy("part").applyInArrow(
         _ask, "part int, word string, gram long, n long"), "asked")
-    words = stored(
-        asked.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # a word or byte string takes the list of parts that ask for it along, at most one entry per part
+    asking = [F.sum("n").alias("n"), F.collect_list("part").alias("parts")]
+    words = stored(asked.filter("word IS NOT NULL").groupBy("word").agg(*asking), "word-counts")
     known = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     strings = stored(
-        asked.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
+        asked.filter("gram IS NOT NULL").groupBy("gram").agg(*asking)
         .withColumn("two", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), "gram-counts")
-    near = strings.groupBy("two").applyInArrow(_near, "near int, slot int, value double")
+    near = strings.select("two", "gram", "n").groupBy("two").applyInArrow(
+        _near, "near int, slot int, value double")
     upper = spark.sparkContext.broadcast(_upper_levels(
         near.groupBy("near", "slot").agg(F.sum("value").alias("value")).toLocalIterator()))
-    coded = strings.groupBy("two").applyInArrow(lambda t: _code(t, upper), "gram long, value double")
-    requests = asked.select("part", "word", "gram")
-    answers = requests.filter("word IS NOT NULL").join(
-        words.select("word", F.col("n").cast("double").alias("value")), "word").select(
-        "part", "word", "gram", "value").unionByName(
-        requests.filter("gram IS NOT NULL").join(coded, "gram").select("part", "word", "gram", "value"))
+    coded = strings.groupBy("two").applyInArrow(
+        lambda t: _code(t, upper), "gram long, parts array<int>, value double")
+    answers = words.select(
+        F.explode("parts").alias("part"), "word", F.lit(None).cast("long").alias("gram"),
+        F.col("n").cast("double").alias("value")).unionByName(coded.select(
+            F.explode("parts").alias("part"), F.lit(None).cast("string").alias("word"), "gram", "value"))
     total, distinct = known.n or 0, known.v
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         lambda a, b: _score(a, b, total, distinct),
