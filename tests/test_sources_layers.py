@@ -77,12 +77,25 @@ def test_large_csv_accepts_quoted_values(spark, tmp_path, row):
     assert got == tuples(reviews_csv.read_csv(spark, str(path)), "id") and len(got) == 2
 
 
-def test_read_reviews_picks_the_reader_by_file_size(spark, csv_file):
-    size = len(CSV.encode())
-    plain = reviews_csv.read_reviews(spark, csv_file, large_over=size)
-    large = reviews_csv.read_reviews(spark, csv_file, large_over=size - 1)
-    assert "Aggregate" not in plan(plain) and "Aggregate" in plan(large)
-    assert tuples(plain, "_c0") == tuples(large, "_c0")
+def test_read_reviews_uses_the_reader_asked_for(spark, csv_file):
+    plain = reviews_csv.read_reviews(spark, csv_file)
+    split = reviews_csv.read_reviews(spark, csv_file, split_files=True)
+    assert "Aggregate" not in plan(plain) and "Aggregate" in plan(split)
+    assert tuples(plain, "_c0") == tuples(split, "_c0")
+
+
+@pytest.mark.parametrize("text", ["id,a\r1,x\r2,y\r", "id,a\n1,x\r2,y\n3,z\n", 'id,a\n1,"x\ry"\n2,z\n',
+                                  "id,a\r\n1,x\r\n2,y\r\n"])
+def test_split_reader_never_loses_rows(spark, tmp_path, text):
+    path = tmp_path / "lines.csv"
+    path.write_bytes(text.encode())
+    want = tuples(reviews_csv.read_csv(spark, str(path)), "id")
+    try:
+        got = tuples(reviews_csv.read_large_csv(spark, str(path)), "id")
+    except Exception as e:
+        assert "use read_csv" in str(e)
+    else:
+        assert got == want
 
 
 def test_names_and_audit(spark, csv_file):
@@ -107,11 +120,21 @@ def test_csv_roundtrip_keeps_spaces_and_nulls(spark, tmp_path):
 
 @pytest.mark.parametrize("setting, base", [("/shared/x/", "/shared/x/a-"), (None, "/")])
 def test_shared_folder_follows_the_session_setting(setting, base):
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting))
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: setting),
+        sparkContext=SimpleNamespace(master="local[2]"))
     first, second = (scratch.shared_folder(session, "a") for _ in range(2))
     assert first != second and first.startswith(base) and second.startswith(base)
 
 
+def test_a_cluster_needs_a_shared_folder():
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: None),
+        sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(session, "a")
+
+
 def layout_in(spark, tmp_path, tag, **kwargs):
     layout = config.Layout(f"b_{tag}", f"s_{tag}", f"g_{tag}", location=str(tmp_path), **kwargs)
     tables.create_schemas(spark, layout)
@@ -159,8 +182,8 @@ def test_spread_only_where_splits_are_few(spark):
     assert tables.spread(many, many) is many
 
 
-@pytest.mark.parametrize("large_over, buckets", [(1 << 30, None), (0, 2)])
-def test_layers_end_to_end(spark, tmp_path, csv_file, large_over, buckets):
+@pytest.mark.parametrize("split_files, buckets", [(False, None), (True, 2)])
+def test_layers_end_to_end(spark, tmp_path, csv_file, split_files, buckets):
     asked = spark.sparkContext.accumulator(0)
 
     def make():
@@ -175,7 +198,7 @@ def test_layers_end_to_end(spark, tmp_path, csv_file, large_over, buckets):
         summarise=infer.summarise_extractive,
     )
     layout = layout_in(spark, tmp_path / "db", f"run_{buckets}", buckets=buckets)
-    run = partial(layers.run, spark, csv_file, used, layout, sample=2, partitions=2, large_over=large_over)
+    run = partial(layers.run, spark, csv_file, used, layout, sample=2, partitions=2, split_files=split_files)
     run()
     assert asked.value == 2
     bronze = spark.table(layout.table("bronze", "reviews"))

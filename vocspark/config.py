@@ -98,7 +98,6 @@ SUMMARY_PROMPT = (
 REVIEW_SEPARATOR = "\n- "
 # ---- end of fixed values ---------------------------------------------------
 
-DEFAULT_SAMPLE = 3000
 TOP_TOPICS = 5
 REVIEWS_PER_SUMMARY = 15
 SUMMARY_MAX_TOKENS = 300

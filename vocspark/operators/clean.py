@@ -36,7 +36,7 @@ def clean_reviews(df: DataFrame, skip_empty_title: bool = False) -> DataFrame:
 
 
 def bounded_sample(
-    df: DataFrame, n: int | None = config.DEFAULT_SAMPLE, partitions: int | None = None
+    df: DataFrame, n: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """The n reviews with the lowest ids; all of them for None.
 

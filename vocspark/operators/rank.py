@@ -30,6 +30,12 @@ def top(df: DataFrame, n: int, order: Sequence[Column], rank: str = "rank") -> D
     return df.orderBy(*order).limit(n).select(place.alias(rank), *df.columns)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """All rows of a small aggregate, one per label, with their place."""
+    place = F.row_number().over(Window.orderBy(*order)).cast("int")
+    return df.select(place.alias(rank), *df.columns)
+
+
 def critical_topics(gold: DataFrame, n: int = config.TOP_TOPICS) -> DataFrame:
     """The n topics with most negative reviews."""
     return top(negatives_by_topic(gold), n, [F.desc("qtd_negativos"), F.asc("assunto")])

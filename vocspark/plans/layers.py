@@ -47,10 +47,10 @@ def bronze(
     path: str,
     layout: Layout = Layout(),
     source_file: str | None = None,
-    large_over: int = reviews_csv.LARGE_FILE,
+    split_files: bool = False,
 ) -> DataFrame:
     """Load the file as it is, with safe names and audit columns; row counts must agree."""
-    source = reviews_csv.sanitize_names(reviews_csv.read_reviews(spark, path, large_over))
+    source = reviews_csv.sanitize_names(reviews_csv.read_reviews(spark, path, split_files))
     audited = reviews_csv.add_audit(source, source_file or path.rstrip("/").rsplit("/", 1)[-1])
     table = write_table(audited, layout.table("bronze", "reviews"), layout)
     quality.require_equal_counts(source, table)
@@ -60,7 +60,7 @@ def bronze(
 def silver_clean(
     spark: SparkSession,
     layout: Layout = Layout(),
-    sample: int | None = config.DEFAULT_SAMPLE,
+    sample: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     cleaned = clean_reviews(spark.table(layout.table("bronze", "reviews")))
@@ -148,14 +148,14 @@ def run(
     path: str,
     models: Models,
     layout: Layout = Layout(),
-    sample: int | None = config.DEFAULT_SAMPLE,
+    sample: int | None = None,
     partitions: int | None = None,
-    large_over: int = reviews_csv.LARGE_FILE,
+    split_files: bool = False,
     resume: bool = False,
 ) -> None:
     """All stages in order."""
     create_schemas(spark, layout)
-    bronze(spark, path, layout, large_over=large_over)
+    bronze(spark, path, layout, split_files=split_files)
     silver_clean(spark, layout, sample, partitions)
     silver_embeddings(spark, models.embed, layout, resume)
     silver_responses(spark, models.classify, layout, resume)

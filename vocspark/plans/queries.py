@@ -206,9 +206,7 @@ def share_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = aggregate.sentiment_distribution(fx.enriched(spark, sf_dir))
-    # at most one row per label, so the limit drops nothing
-    labels = len(config.SENTIMENTS) + 1
-    return rank.top(counts, labels, [F.desc("count"), F.asc("sentimento")])
+    return rank.ranked(counts, [F.desc("count"), F.asc("sentimento")])
 
 
 def topic_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +216,7 @@ def topic_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rating_by_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = aggregate.rating_by_sentiment(fx.enriched(spark, sf_dir))
-    labels = len(config.SENTIMENTS) + 1
-    return rank.top(means, labels, [F.asc("rating_medio"), F.asc("sentimento")])
+    return rank.ranked(means, [F.asc("rating_medio"), F.asc("sentimento")])
 
 
 def topic_sentiment_share(spark: SparkSession, sf_dir: str) -> DataFrame:

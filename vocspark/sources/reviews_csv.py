@@ -10,8 +10,6 @@ from vocspark import config
 # A quote inside a quoted value is written twice, and a value may span lines.
 CSV_OPTIONS = {"header": "true", "inferSchema": "false", "quote": '"', "escape": '"'}
 
-LARGE_FILE = 1 << 30
-
 
 def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """All columns as strings. `path` may be a file, a folder or a glob.
@@ -24,11 +22,9 @@ def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return df.repartition(partitions) if partitions else df
 
 
-def read_reviews(spark: SparkSession, path: str, large_over: int = LARGE_FILE) -> DataFrame:
-    """`read_csv`, or `read_large_csv` when a file has more than `large_over` bytes."""
-    sizes = spark.read.format("binaryFile").load(path).select("length")  # contents stay unread
-    largest = sizes.agg(F.max("length")).first()[0] or 0
-    return (read_large_csv if largest > large_over else read_csv)(spark, path)
+def read_reviews(spark: SparkSession, path: str, split_files: bool = False) -> DataFrame:
+    """`read_csv`, or `read_large_csv` where the caller asks for split files."""
+    return (read_large_csv if split_files else read_csv)(spark, path)
 
 
 def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +35,8 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
     totals are put in order, and each split's lines then know their record number. The
     lines of a record are joined and parsed as CSV. Quotes must occur in quoted values
     only, as RFC 4180 has it and as `write_csv` writes; a stray one would shift the
-    records, so it fails the job.
+    records, so it fails the job, as do quotes that do not pair up in a file and lines that
+    end in a carriage return alone.
     """
     names = spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path).columns
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -68,7 +65,12 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
         F.min_by("returned", "line").alias("crlf"),
     )
     ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("inside", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2)
+    unpaired = F.sum("odd").over(Window.partitionBy("file")) % 2 == 1
+    inside = F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2
+    # raised here, before the lines of an endless record would be gathered
+    refused = F.raise_error(F.lit(
+        "quote outside a quoted value: a file's quotes do not pair up; use read_csv for it")).cast("long")
+    splits = splits.withColumn("inside", F.when(unpaired, refused).otherwise(inside))
     begun = F.when(F.col("inside") == 0, F.col("if_outside")).otherwise(F.col("if_inside"))
     splits = splits.withColumn("begun", begun).select(
         "file",
@@ -86,20 +88,23 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
         .filter(~F.col("blank") | (F.col("turned") != F.col("inside")))
         .groupBy("file", "record", "crlf")
         .agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("lines"))
-        .filter(F.col("record") > 1)  # the first record of a file is its header
     )
     joined = F.array_join(F.transform("lines", lambda x: x.value), "\n")
     as_lf = F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"\r$", "")
     # what is left without doubled quotes and well placed quoted values may hold no quote
     values = F.replace("text", F.lit('""'), F.lit(""))
     bare = F.regexp_replace(values, r'(?<![^,])"[^"]*+"(?![^,])', "")
-    stray = F.raise_error(F.lit("quote outside a quoted value; use read_csv for this file"))
+    refuse = F.raise_error(F.lit(
+        "quote outside a quoted value, or lines ending in a carriage return; use read_csv for this file"))
+    odd = bare.contains('"') | bare.rlike(r"\r(?!\n|$)")
+    # the first record of a file is its header: tested like the others, then left out
+    wanted = F.when(odd, refuse.cast("boolean")).otherwise(F.col("record") > 1)
     schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
     options = {k: v for k, v in CSV_OPTIONS.items() if k in ("quote", "escape")}
     return (
-        records.select("crlf", joined.alias("text"))
-        .select(F.when(F.col("crlf"), as_lf).otherwise(F.col("text")).alias("text"))
-        .select(F.when(bare.contains('"'), stray.cast("string")).otherwise(F.col("text")).alias("text"))
+        records.select("record", "crlf", joined.alias("text"))
+        .select("record", F.when(F.col("crlf"), as_lf).otherwise(F.col("text")).alias("text"))
+        .filter(wanted)
         .select(F.from_csv("text", schema, {**options, "multiLine": "true"}).alias("row"))
         .select("row.*")
     )
