@@ -1,14 +1,16 @@
 """Encoding with public tokenizers: whole texts, each distinct pre-token encoded once per worker.
 
-Texts of common Latin characters are cut by the tokenizer's own split pattern, and each piece
-is looked up; any other text (other scripts, control characters, special strings) is
-given whole to the library. Tests hold both ways against the library.
+Texts of common Latin characters are cut before each run of spaces, where both vocabularies'
+split patterns always cut, and each such unit is looked up; any other text (other scripts,
+control characters, special strings) is given whole to the library. Tests hold both ways
+against the library.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
+from array import array
 
 import numpy as np
 import regex
@@ -21,9 +23,16 @@ BYTE_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_UNCOMMON = regex.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧]|<\\|")
+_UNCOMMON = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧]|<\\|")
+_UNIT = re.compile(r"\s*\S+|\s+")
 _REMEMBERED = 1 << 19
 
+# the letters that byte-level vocabularies write for bytes: printable ones stand for themselves,
+# all others count up from 256
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class PieceEncoder:
     """Ids of texts, by remembered pieces. One per task."""
@@ -34,9 +43,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.model = self.library.model
         self.lower = vocabulary == WORD_VOCABULARY
         self.pattern = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -47,17 +57,29 @@ class PieceEncoder:
             return None
         return self.pattern.findall(text.lower() if self.lower else text)
 
+    def units(self, text: str) -> list[str] | None:
+        """Runs of spaces, each with the run of other characters after it, or None as above."""
+        if _UNCOMMON.search(text):
+            return None
+        # the word vocabulary drops spaces and lower-cases; no pre-token of it spans a space
+        return text.lower().split() if self.lower else _UNIT.findall(text)
+
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        pieces = self.pieces(text)
-        if pieces is None:
+        units = self.units(text)
+        if units is None:
             return np.array(self.whole(text), np.uint32)
-        new = list({p for p in pieces if p not in self.known})
+        new = set(units).difference(self.known)
         if new:
             if len(self.known) > _REMEMBERED:
                 self.known.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[piece] = tuple(e.ids)
-        found = chain.from_iterable(map(self.known.__getitem__, pieces))
-        return np.fromiter(found, np.uint32)
+                new = set(units)
+            for unit in new:
+                self.known[unit] = self._coded(unit)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
+
+    def _coded(self, unit: str) -> bytes:
+        """Ids of a unit's pre-tokens from the library's merge model, as 32-bit bytes."""
+        mapped = (p.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                  for p in self.pattern.findall(unit))
+        return array("I", [t.id for p in mapped for t in self.model.tokenize(p)]).tobytes()
