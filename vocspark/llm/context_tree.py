@@ -5,20 +5,22 @@ node has a Krichevsky-Trofimov estimate from its counts, and its weighted probab
 half that estimate and half the product of its children's, up to contexts of `DEPTH` bytes.
 Prediction mixes the estimates of all depths with the weights that training left at each node.
 
-Texts are dealt into parts by their id. A part asks only for the words and byte strings it holds,
-once each; counts are summed by word and byte string, and answers return to the part, so
-frequent words cross as one row per part. Nodes of two and more context bytes are computed in
-groups by the two nearest bytes; those above have at most 256 x 255 nodes, whatever the corpus.
+Texts are dealt into parts by their id. A part asks only for the words and byte strings it
+holds, once each: one compressed message per owner, with its training counts. An owner (of the
+strings with the same two nearest context bytes, or of a hash range of words) adds up what the
+parts send and answers each in the order it asked. Nodes of two and more context bytes are
+computed by the owners; those above have at most 256 x 255 nodes, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,24 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def grams(words: list[bytes]) -> np.ndarray:
-    """The byte strings of DEPTH context bytes and one byte, as integers, of a text and its end."""
+    """The context bytes, nearest first, and the byte of every place of a text and its end."""
     data = np.frombuffer(b"\n" * DEPTH + b" ".join(words) + b"\n", np.uint8).astype(np.int64)
-    out = np.zeros(len(data) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        out = (out << 8) | data[k:len(data) - DEPTH + k]
-    return out
+    n = len(data) - DEPTH
+    out = np.zeros(n, np.int64)
+    for k in range(1, DEPTH + 1):
+        out = (out << 8) | data[DEPTH - k:DEPTH - k + n]
+    return (out << 8) | data[DEPTH:]
+
+
+def shrink(values: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def grow(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -70,49 +84,67 @@ def _decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << _LEVELS) | (byte >> (8 - _LEVELS)), (byte >> (7 - _LEVELS)) & 1
 
 
+class Nodes:
+    """Nodes of one context length and one decision, of sorted byte strings with counts."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, decision: int):
+        same = key >> (8 - decision)
+        self.first = np.flatnonzero(np.diff(same, prepend=same[0] - 1))
+        self.place = np.repeat(np.arange(len(self.first)), np.diff(self.first, append=len(key)))
+        self.n1 = np.add.reduceat(n * (key >> (7 - decision) & 1), self.first)
+        self.n0 = np.add.reduceat(n, self.first) - self.n1
+        self.log_weighted = self.kt = log_kt(self.n0, self.n1)
+        self.own = np.ones(len(self.kt))
+
+    def weigh(self, below: np.ndarray) -> None:
+        """`below`: sums of the children's log weighted probabilities."""
+        self.log_weighted = _LOG_HALF + np.logaddexp(self.kt, below)
+        self.own = np.exp(_LOG_HALF + self.kt - self.log_weighted)
+
+
 class Level:
-    """Nodes of one context length among some byte strings, with their counts."""
-
-    def __init__(self, context: np.ndarray, node: np.ndarray, bit: np.ndarray, n: np.ndarray):
-        keys = (context[:, None] << 8) | node
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.place = place.reshape(keys.shape)
-        ones = np.bincount(self.place.ravel(), (bit * n[:, None]).ravel(), len(self.keys))
-        total = np.bincount(self.place.ravel(), np.repeat(n, 8), len(self.keys))
-        self.n0, self.n1 = total - ones, ones
-        self.kt = log_kt(self.n0, self.n1)
-
-    def weigh(self, below: np.ndarray | None) -> None:
-        """`below`: sums of the children's log weighted probabilities, None at the deepest."""
-        self.log_weighted = self.kt if below is None else _LOG_HALF + np.logaddexp(self.kt, below)
-        self.own = np.ones(len(self.kt)) if below is None else np.exp(
-            _LOG_HALF + self.kt - self.log_weighted)
-
-
-def _levels(gram: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels of 2 to DEPTH context bytes of one group, weighed from the deepest up."""
-    node, bit = _decisions(gram & 0xFF)
-    levels = [
-        Level((gram >> 8) & ((1 << (8 * d)) - 1), node, bit, n) for d in range(2, DEPTH + 1)]
-    levels[-1].weigh(None)
-    for upper, lower in zip(levels[-2::-1], levels[:0:-1]):
-        parent = np.empty(len(lower.keys), np.int64)
-        parent[lower.place.ravel()] = upper.place.ravel()
-        upper.weigh(np.bincount(parent, lower.log_weighted, len(upper.keys)))
+    """Byte strings of one context length; `up` is each one's place in the next shorter level."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.n, self.up = key, n, None
+        self.nodes = [Nodes(key, n, j) for j in range(8)]
+
+    def shorter(self) -> Level:
+        key, self.up = np.unique((self.key >> 16 << 8) | (self.key & 0xFF), return_inverse=True)
+        return Level(key, np.bincount(self.up, self.n, len(key)))
+
+
+def _levels(key: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels of 2 to DEPTH context bytes of one owner's strings, weighed from the deepest up."""
+    levels = [Level(key, n)]
+    while len(levels) < DEPTH - 1:
+        longer = levels[0]
+        levels.insert(0, longer.shorter())
+        for nodes, children in zip(levels[0].nodes, longer.nodes):
+            parent = nodes.place[longer.up[children.first]]
+            nodes.weigh(np.bincount(parent, children.log_weighted, len(nodes.first)))
     return levels
 
 
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each message's places among an owner's distinct byte strings, these, and their counts."""
+    sent = [np.cumsum(grow(m)) for m in table.column("keys").to_pylist()]
+    counts = np.concatenate([grow(m) for m in table.column("counts").to_pylist()])
+    key, place = np.unique(np.concatenate(sent), return_inverse=True)
+    stops = np.cumsum([len(m) for m in sent])
+    return np.split(place, stops[:-1]), key, np.bincount(place, counts, len(key))
+
+
 def _near(table: pa.Table) -> pa.Table:
-    """What the levels above need of a group: per nearest byte, node sums and byte counts."""
-    gram = table.column("gram").to_numpy()
-    n = table.column("n").to_numpy().astype(np.float64)
-    top = _levels(gram, n)[0]
-    counts = np.bincount(gram & 0xFF, n, 256)
-    byte = np.flatnonzero(counts)
-    slot = np.concatenate([top.keys & 0xFF, 256 + byte])
-    value = np.concatenate([top.log_weighted, counts[byte]])
-    near = int(gram[0] >> 8) & 0xFF
-    return pa.table({"near": pa.array(np.full(len(slot), near), pa.int32()),
+    """What the levels above need of an owner: per nearest byte, node sums and byte counts."""
+    _, key, n = _merged(table)
+    top = _levels(key, n)[0]
+    byte = top.key & 0xFF
+    slots = [(1 << j) | (byte[nodes.first] >> (8 - j)) for j, nodes in enumerate(top.nodes)]
+    slot = np.concatenate([*slots, 256 + byte])
+    value = np.concatenate([*(nodes.log_weighted for nodes in top.nodes), top.n])
+    near = np.full(len(slot), int(key[0] >> (8 * DEPTH)))
+    return pa.table({"near": pa.array(near, pa.int32()),
                      "slot": pa.array(slot, pa.int32()), "value": pa.array(value)})
 
 
@@ -136,25 +168,53 @@ def _upper_levels(rows) -> dict[str, np.ndarray]:
 
 
 def _code(table: pa.Table, upper) -> pa.Table:
-    """log10 probability of each byte string's last byte after its context."""
-    gram = table.column("gram").to_numpy()
-    levels = _levels(gram, table.column("n").to_numpy().astype(np.float64))
-    up = upper.value
-    node, bit = _decisions(gram & 0xFF)
-    near = ((gram >> 8) & 0xFF)[:, None]
-    one = np.zeros(node.shape)
-    for level in levels[::-1]:
-        own = level.own[level.place]
-        one = own * _kt_one(level.n0, level.n1)[level.place] + (1 - own) * one
-    one = up["w1"][near, node] * up["p1"][near, node] + (1 - up["w1"][near, node]) * one
-    one = up["w0"][node] * up["p0"][node] + (1 - up["w0"][node]) * one
-    return pa.table({"gram": pa.array(gram), "parts": table.column("parts"), "value": pa.array(
-        np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1))})
-
-
-def _ask(table: pa.Table) -> pa.Table:
-    """The words and byte strings of a part, each with its count in training texts."""
-    train = table.column("train").to_pylist()
+    """Answers of an owner of byte strings: log10 probability of the last byte of each."""
+    places, key, n = _merged(table)
+    levels, up = _levels(key, n), upper.value
+    near, byte = int(key[0] >> (8 * DEPTH)), levels[0].key & 0xFF
+    value = np.zeros(len(key))
+    for j in range(8):
+        node = (1 << j) | (byte >> (8 - j))
+        w0, w1 = up["w0"][node], up["w1"][near, node]
+        one = w0 * up["p0"][node] + (1 - w0) * w1 * up["p1"][near, node]
+        left = (1 - w0) * (1 - w1)
+        for level, longer in zip(levels, [*levels[1:], None]):
+            nodes = level.nodes[j]
+            own = nodes.own[nodes.place]
+            one = one + left * own * _kt_one(nodes.n0, nodes.n1)[nodes.place]
+            left = left * (1 - own)
+            if longer:
+                one, left = one[longer.up], left[longer.up]
+        value += np.log10(np.where(key >> (7 - j) & 1, one, 1 - one))
+    return _answers(table, [value[p].astype("<f4").tobytes() for p in places])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Answers of an owner of words: the training count of each."""
+    sent = [zlib.decompress(m).split(b" ") for m in table.column("keys").to_pylist()]
+    total: Counter[bytes] = Counter()
+    for mine, counts in zip(sent, table.column("counts").to_pylist()):
+        for word, n in zip(mine, grow(counts).tolist()):
+            total[word] += n
+    answers = _answers(table, [shrink(np.array([total[w] for w in mine])) for mine in sent])
+    # the owner's sums stand in its first answer
+    rest = [0] * (len(sent) - 1)
+    return answers.append_column("n", pa.array([sum(total.values()), *rest], pa.int64())).append_column(
+        "v", pa.array([sum(c > 0 for c in total.values()), *rest], pa.int64()))
+
+
+def _answers(table: pa.Table, values: list[bytes]) -> pa.Table:
+    return table.select(["part", "owner", "keys"]).append_column("value", pa.array(values, pa.binary()))
+
+
+def _messages(part: int, owner: np.ndarray, keys: list[bytes], counts: list[bytes]) -> pa.Table:
+    return pa.table({
+        "part": pa.array([part] * len(keys), pa.int32()), "owner": pa.array(owner, pa.int32()),
+        "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _ask(table: pa.Table, word_owners: int) -> pa.Table:
+    """Messages of a part. Owners of byte strings are their first two bytes, of words below zero."""
     words: Counter[bytes] = Counter()
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[np.ndarray] = []
@@ -166,11 +226,9 @@ def _ask(table: pa.Table) -> pa.Table:
         pieces.append((keys, np.bincount(place, np.concatenate(weight), len(keys))))
         held.clear(), weight.clear()
 
-    for text, learn in zip(table.column("text").to_pylist(), train):
-        found = normal_words(text)
-        words.update(dict.fromkeys(found, 0))
-        if learn:
-            words.update(found)
+    for text, learn in zip(table.column("text"), table.column("train").to_pylist()):
+        found = normal_words(text.as_py())
+        words.update(found if learn else dict.fromkeys(found, 0))
         words[END_WORD.encode()] += int(learn)
         held.append(grams(found))
         weight.append(np.full(len(held[-1]), float(learn)))
@@ -184,26 +242,35 @@ def _ask(table: pa.Table) -> pa.Table:
     fold()
     keys, counts = pieces[-1]
     part = table.column("part")[0].as_py()
-    total = len(words) + len(keys)
-    return pa.table({
-        "part": pa.array([part] * total, pa.int32()),
-        "word": pa.array([w.decode() for w in words] + [None] * len(keys), pa.string()),
-        "gram": pa.array([None] * len(words) + keys.tolist(), pa.int64()),
-        "n": pa.array([*words.values(), *counts.astype(np.int64).tolist()], pa.int64())})
+    owner = keys >> (8 * DEPTH - 8)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    strings = _messages(
+        part, owner[first], [shrink(np.diff(k, prepend=0)) for k in np.split(keys, first[1:])],
+        [shrink(n) for n in np.split(counts, first[1:])])
+    owned: dict[int, list[bytes]] = {}
+    for word in sorted(words):
+        owned.setdefault(-1 - xxhash.xxh64_intdigest(word) % word_owners, []).append(word)
+    return pa.concat_tables([strings, _messages(
+        part, np.array(list(owned)), [zlib.compress(b" ".join(m), 1) for m in owned.values()],
+        [shrink(np.array([words[w] for w in m])) for m in owned.values()])])
 
 
 def _score(texts: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.Table:
-    names = answers.column("word").to_pylist()
-    values = answers.column("value").to_numpy()
-    is_gram = np.fromiter((w is None for w in names), bool, len(names))
-    count = {w.encode(): int(v) for w, v in zip(names, values) if w is not None}
-    keys = pc.fill_null(answers.column("gram"), 0).to_numpy()[is_gram]
-    order = np.argsort(keys)
-    keys, logs = keys[order], values[is_gram][order]
+    count: dict[bytes, int] = {}
+    strings: list[tuple[np.ndarray, np.ndarray]] = []
+    for owner, asked, value in zip(*(answers.column(c).to_pylist() for c in ("owner", "keys", "value"))):
+        if owner < 0:
+            count.update(zip(zlib.decompress(asked).split(b" "), grow(value).tolist()))
+        else:
+            strings.append((np.cumsum(grow(asked)), np.frombuffer(value, "<f4")))
+    strings.sort(key=lambda m: m[0][0])
+    keys = np.concatenate([m[0] for m in strings])
+    logs = np.concatenate([m[1] for m in strings]).astype(np.float64)
     scale = total + 0.1 * (distinct + 1)
     rows = []
-    for doc_id, text, train in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "text", "train"))):
-        found = normal_words(text)
+    for doc_id, text, train in zip(
+            texts.column("doc_id").to_pylist(), texts.column("text"), texts.column("train").to_pylist()):
+        found = normal_words(text.as_py())
         mine = [count[w] for w in [*found, END_WORD.encode()]]
         base = float(np.log10((np.array(mine) + 0.1) / scale).sum())
         string = grams(found)
@@ -221,33 +288,27 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
     """Scores of every row; `train` is the condition of the rows to learn from.
 
     The scored string is the lower-cased (A-Z) words joined by single spaces, then a line
-    end; a null or blank text is the end alone. `score` is its log10 probability, base_score
-    that of the smoothed word counts. Repeated rows are scored, and learnt from, each. With no
-    row to learn from, estimates are those of empty nodes. An empty table gives an empty result.
+    end; a null or blank text is the end alone. `score` is its log10 probability (each byte's
+    crosses as a 32-bit float), base_score that of the smoothed word counts. Repeated rows are
+    scored, and learnt from, each. With no row to learn from, estimates are those of empty nodes.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     dealt = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shuffle_partitions(spark))).cast("int"))
+        "part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     asked = stored(dealt.groupBy("part").applyInArrow(
-        _ask, "part int, word string, gram long, n long"), "asked")
-    # a word or byte string takes the list of parts that ask for it along, at most one entry per part
-    asking = [F.sum("n").alias("n"), F.collect_list("part").alias("parts")]
-    words = stored(asked.filter("word IS NOT NULL").groupBy("word").agg(*asking), "word-counts")
-    known = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    strings = stored(
-        asked.filter("gram IS NOT NULL").groupBy("gram").agg(*asking)
-        .withColumn("two", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), "gram-counts")
-    near = strings.select("two", "gram", "n").groupBy("two").applyInArrow(
-        _near, "near int, slot int, value double")
+        lambda t: _ask(t, parts), "part int, owner int, keys binary, counts binary"), "asked")
+    strings, reply = asked.filter("owner >= 0").groupBy("owner"), "part int, owner int, keys binary, value binary"
+    words = stored(asked.filter("owner < 0").groupBy("owner").applyInArrow(
+        _count, f"{reply}, n long, v long"), "word-counts")
+    known = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    near = strings.applyInArrow(_near, "near int, slot int, value double")
     upper = spark.sparkContext.broadcast(_upper_levels(
         near.groupBy("near", "slot").agg(F.sum("value").alias("value")).toLocalIterator()))
-    coded = strings.groupBy("two").applyInArrow(
-        lambda t: _code(t, upper), "gram long, parts array<int>, value double")
-    answers = words.select(
-        F.explode("parts").alias("part"), "word", F.lit(None).cast("long").alias("gram"),
-        F.col("n").cast("double").alias("value")).unionByName(coded.select(
-            F.explode("parts").alias("part"), F.lit(None).cast("string").alias("word"), "gram", "value"))
-    total, distinct = known.n or 0, known.v
+    answers = words.drop("n", "v").unionByName(
+        strings.applyInArrow(lambda t: _code(t, upper), reply))
+    total, distinct = known.n or 0, known.v or 0
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
         lambda a, b: _score(a, b, total, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
