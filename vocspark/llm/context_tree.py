@@ -6,9 +6,9 @@ half that estimate and half the product of its children's, up to contexts of `DE
 Prediction mixes the estimates of all depths with the weights that training left at each node.
 
 Texts are dealt into parts by their id. A part asks only for the words and byte strings it
-holds, once each: one compressed message per owner, with its training counts. An owner (of the
-strings with the same two nearest context bytes, or of a hash range of words) adds up what the
-parts send and answers each in the order it asked. Nodes of two and more context bytes are
+holds, once each: one compressed message per owner, with its training counts. An owner (of a
+share of the pairs of nearest context bytes, or of the words) adds up what the parts send and
+answers each in the order it asked. `OWNERS` of each kind bound the messages of a part. Nodes of two and more context bytes are
 computed by the owners; those above have at most 256 x 255 nodes, whatever the corpus.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from vocspark.llm.common import shuffle_partitions, stored
 
 DEPTH = 6
+OWNERS = 64
 END_WORD = "\n"
 _CHUNK = 1 << 21
 _LOG_HALF = math.log(0.5)
@@ -103,7 +104,7 @@ class Nodes:
 
 
 class Level:
-    """Byte strings of one context length; `up` is each one's place in the next shorter level."""
+    """Byte strings of one context length; `up` holds their places in the next shorter level."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         self.key, self.n, self.up = key, n, None
@@ -139,11 +140,11 @@ def _near(table: pa.Table) -> pa.Table:
     """What the levels above need of an owner: per nearest byte, node sums and byte counts."""
     _, key, n = _merged(table)
     top = _levels(key, n)[0]
-    byte = top.key & 0xFF
+    byte, near = top.key & 0xFF, top.key >> 16
     slots = [(1 << j) | (byte[nodes.first] >> (8 - j)) for j, nodes in enumerate(top.nodes)]
     slot = np.concatenate([*slots, 256 + byte])
     value = np.concatenate([*(nodes.log_weighted for nodes in top.nodes), top.n])
-    near = np.full(len(slot), int(key[0] >> (8 * DEPTH)))
+    near = np.concatenate([*(near[nodes.first] for nodes in top.nodes), near])
     return pa.table({"near": pa.array(near, pa.int32()),
                      "slot": pa.array(slot, pa.int32()), "value": pa.array(value)})
 
@@ -171,7 +172,7 @@ def _code(table: pa.Table, upper) -> pa.Table:
     """Answers of an owner of byte strings: log10 probability of the last byte of each."""
     places, key, n = _merged(table)
     levels, up = _levels(key, n), upper.value
-    near, byte = int(key[0] >> (8 * DEPTH)), levels[0].key & 0xFF
+    near, byte = levels[0].key >> 16, levels[0].key & 0xFF
     value = np.zeros(len(key))
     for j in range(8):
         node = (1 << j) | (byte >> (8 - j))
@@ -213,8 +214,14 @@ def _messages(part: int, owner: np.ndarray, keys: list[bytes], counts: list[byte
         "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
-def _ask(table: pa.Table, word_owners: int) -> pa.Table:
-    """Messages of a part. Owners of byte strings are their first two bytes, of words below zero."""
+def string_owner(keys: np.ndarray) -> np.ndarray:
+    """Owner of byte strings: the same for all with the same two nearest context bytes."""
+    pair = (keys >> (8 * DEPTH - 8)).astype(np.uint64)
+    return (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % OWNERS
+
+
+def _ask(table: pa.Table) -> pa.Table:
+    """Messages of a part. Owners of words are numbered below zero."""
     words: Counter[bytes] = Counter()
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[np.ndarray] = []
@@ -242,14 +249,16 @@ def _ask(table: pa.Table, word_owners: int) -> pa.Table:
     fold()
     keys, counts = pieces[-1]
     part = table.column("part")[0].as_py()
-    owner = keys >> (8 * DEPTH - 8)
+    owner = string_owner(keys)
+    order = np.argsort(owner, kind="stable")
+    owner, keys, counts = owner[order], keys[order], counts[order]
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     strings = _messages(
         part, owner[first], [shrink(np.diff(k, prepend=0)) for k in np.split(keys, first[1:])],
         [shrink(n) for n in np.split(counts, first[1:])])
     owned: dict[int, list[bytes]] = {}
     for word in sorted(words):
-        owned.setdefault(-1 - xxhash.xxh64_intdigest(word) % word_owners, []).append(word)
+        owned.setdefault(-1 - xxhash.xxh64_intdigest(word) % OWNERS, []).append(word)
     return pa.concat_tables([strings, _messages(
         part, np.array(list(owned)), [zlib.compress(b" ".join(m), 1) for m in owned.values()],
         [shrink(np.array([words[w] for w in m])) for m in owned.values()])])
@@ -263,9 +272,9 @@ def _score(texts: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.
             count.update(zip(zlib.decompress(asked).split(b" "), grow(value).tolist()))
         else:
             strings.append((np.cumsum(grow(asked)), np.frombuffer(value, "<f4")))
-    strings.sort(key=lambda m: m[0][0])
     keys = np.concatenate([m[0] for m in strings])
-    logs = np.concatenate([m[1] for m in strings]).astype(np.float64)
+    order = np.argsort(keys)
+    keys, logs = keys[order], np.concatenate([m[1] for m in strings])[order].astype(np.float64)
     scale = total + 0.1 * (distinct + 1)
     rows = []
     for doc_id, text, train in zip(
@@ -294,12 +303,12 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     dealt = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+        "part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shuffle_partitions(spark))).cast("int"))
     asked = stored(dealt.groupBy("part").applyInArrow(
-        lambda t: _ask(t, parts), "part int, owner int, keys binary, counts binary"), "asked")
-    strings, reply = asked.filter("owner >= 0").groupBy("owner"), "part int, owner int, keys binary, value binary"
+        _ask, "part int, owner int, keys binary, counts binary"), "asked")
+    strings = asked.filter("owner >= 0").groupBy("owner")
+    reply = "part int, owner int, keys binary, value binary"
     words = stored(asked.filter("owner < 0").groupBy("owner").applyInArrow(
         _count, f"{reply}, n long, v long"), "word-counts")
     known = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
