@@ -66,6 +66,14 @@ def test_classify_lexicon_against_python(spark):
         assert got[str(i)] == (topic, mood)
 
 
+def test_words_listed_twice_have_the_sum_of_their_weights(spark):
+    topics = config.TOPICS[:2]
+    lexicon = [("bom", topics[0], 2), ("bom", topics[0], 2), ("bom", topics[1], 3)]
+    df = infer.classify_lexicon(texts(spark, ["bom"]), lexicon, [("bom", 1), ("bom", -1)])
+    row = parse.enrich(df).first()
+    assert (row.assunto, row.sentimento) == (topics[0], "neutro")
+
+
 def test_stand_ins_do_not_shuffle(spark):
     df = spark.range(10).selectExpr("string(id) AS review_id", "'a b' AS texto_completo")
     assert "Exchange" not in plan(infer.classify_lexicon(df, LEXICON, POLARITY))

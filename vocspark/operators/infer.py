@@ -6,7 +6,8 @@ None of them shuffles the reviews: tokens are counted inside each row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def classify_lexicon(
     scored = df.withColumn("_heard", heard)
     candidates = [
         F.struct(
-            _weight("_heard", {w: n for w, t, n in lexicon if t == topic}).alias("score"),
+            _weight("_heard", [(w, n) for w, t, n in lexicon if t == topic]).alias("score"),
             F.lit(-place).alias("place"),
             F.lit(topic).alias("assunto"),
         )
@@ -108,7 +109,7 @@ def classify_lexicon(
     scored = scored.withColumns(
         {
             "_best": F.array_max(F.array(*candidates)),
-            "_balance": _weight("_heard", dict(polarity)),
+            "_balance": _weight("_heard", polarity),
         }
     )
     topic = F.when(F.col("_best.score") > 0, F.col("_best.assunto")).otherwise(
@@ -123,12 +124,15 @@ def classify_lexicon(
     return scored.withColumn(out, answer).drop("_heard", "_best", "_balance")
 
 
-def _weight(words: str, weights: dict[str, int]) -> Column:
-    """Summed weight of an array of words; words without a weight count 0."""
+def _weight(words: str, weights: Iterable[tuple[str, int]]) -> Column:
+    """Summed weight of an array of words; a word listed twice has both, one not listed 0."""
     zero = F.lit(0).cast("bigint")
-    if not weights:
+    summed: Counter[str] = Counter()
+    for word, weight in weights:
+        summed[word] += weight
+    if not summed:
         return zero
-    table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in summed.items() for x in pair))
     return F.aggregate(words, zero, lambda total, w: total + F.coalesce(table[w], F.lit(0)))
 
 
