@@ -222,6 +222,52 @@ def test_near(corpus):
         {x for x in least.values() if x is not None})
 
 
+def brute_similar(rows):
+    """Smallest doc_id of each row's component, by the Jaccard similarity of all pairs."""
+    sets = []
+    for _, t, *_ in rows:
+        w = lower(t).split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) / len(a | b) if a or b else 1) >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min((x for x in (d, least.get(find(i))) if x is not None), default=None)
+    return [(d, least[find(i)]) for i, (d, *_) in enumerate(rows)]
+
+
+def edited_rows():
+    rng = np.random.default_rng(1)
+    rows, start = [], [f"w{i}" for i in range(300)]
+    for edits in [0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 8, 10, 20]:  # copies of one text, above and below 0.8
+        words = list(start)
+        for at in rng.choice(300, edits, False):
+            words[at] = f"x{len(rows)}-{at}"
+        rows.append((100 + len(rows), " ".join(words), "en", "a"))
+    for step in range(12):  # a chain: neighbours are similar, its ends are not
+        words = [f"c{i + 15 * step}" for i in range(200)]
+        rows.append((200 + step, " ".join(words), "en", "a"))
+    return rows
+
+
+def test_near_stage_keeps_one_of_similar_texts(spark):
+    rows = [*ODD, *edited_rows()]
+    stay = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SMALL)
+    want = {least for _, least in brute_similar(rows)}
+    assert sorted({r.doc_id for r in stay.collect()} - {None}) == sorted(want - {None})
+    with pytest.raises(ValueError):
+        near_dedup.similar_dedup(stay, threshold=0.5)
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = near_dedup.covering_masks()
     assert all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(64))

@@ -1,4 +1,4 @@
-"""SimHash near-dedup by covering locality-sensitive hashing.
+"""Near-dedup: SimHash by covering locality-sensitive hashing, or shingle sets by their Jaccard similarity.
 
 Covering masks (Pagh, 2016): every bit position gets a non-zero vector of radius + 1 bits;
 table v keeps the positions whose vector has an even product with v. Any `radius` differing
@@ -6,6 +6,11 @@ positions leave some v for which none of them is kept, so the pair collides in t
 Within a table's bucket two fingerprints differ only in positions the mask leaves free, so
 each member votes for itself and its one-bit changes there: members meeting at a vote are
 within two bits, a vote gathers at most 65 fingerprints, and no pairs of a bucket are listed.
+
+Shingle sets meet in buckets of MinHash bands (Broder, 1997): two sets of similarity 0.8 share
+none of the 24 bands of four with probability 3e-6. The sets of a bucket are compared with its
+centre, the member that shares most buckets; only members that this leaves outside the bucket's
+largest component are compared with the others. Every link is confirmed on the texts.
 """
 
 from __future__ import annotations
@@ -20,19 +25,25 @@ from vocspark.llm.common import attach, stored
 
 SHINGLE = 3
 RADIUS = 2
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 4
 _SEED = 42
 _CHUNK = 1 << 14
 
 
+def word_shingles(text: str | None, shingle: int) -> list[bytes]:
+    """All word shingles; the whole text if it has fewer words, nothing if it has none."""
+    words = (text or "").encode().lower().split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits over the XXH64 of all word shingles; no words: zero."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    grams = word_shingles(text, shingle)
+    if not grams:
         return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hashes = np.fromiter((xxhash.xxh64_intdigest(g, _SEED) for g in grams), ">u8")
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
@@ -125,19 +136,136 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id and kept of every row.
+_DRAW = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 
-    Texts are lower-cased (A-Z); null and empty texts have fingerprint zero and link like
-    any other. Repeated rows share a component. `component_id` is the smallest doc_id
-    reachable (null only if all are null); `kept` marks that document. An empty table
-    gives an empty result.
-    """
-    rows = stored(fingerprints(docs), "fingerprints")
-    fps = stored(
-        rows.groupBy("fp").agg(
-            F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fps")
-    tree = components(links(fps))
+
+def signature(text: str | None, shingle: int) -> tuple[int, int, np.ndarray]:
+    """Hash of the set of shingles, its size, and one key per band."""
+    hashes = np.unique(np.fromiter(
+        (xxhash.xxh64_intdigest(g, _SEED) for g in set(word_shingles(text, shingle))), np.uint64))
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    short = hashes.astype(np.uint32)
+    for at in range(0, len(short), _CHUNK >> 2):
+        mixed = short[at:at + (_CHUNK >> 2)] * (_DRAW[0] | np.uint32(1)) + _DRAW[1]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    keys = [
+        xxhash.xxh64_intdigest(band.tobytes(), t) for t, band in enumerate(least.reshape(BANDS, ROWS))]
+    return xxhash.xxh64_intdigest(hashes.tobytes(), _SEED), len(hashes), np.array(keys, np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, fp (hash of the set of shingles), grams (its size) and band keys of every row."""
+
+    def run(batches):
+        for b in batches:
+            found = [signature(t, shingle) for t in b.column(1).to_pylist()]
+            fps = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
+            keys = np.array([k for _, _, k in found], np.uint64).reshape(-1).view(np.int64)
+            ends = np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(fps), pa.array([n for _, n, _ in found], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
+                names=["doc_id", "text_hash", "fp", "grams", "keys"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, fp long, grams long, keys array<long>")
+
+
+def jaccard(a: set, b: set) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (u, v), u > v, of the `pairs` (u, v) whose texts reach the threshold."""
+
+    def run(batches):
+        kept: dict[int, set] = {}
+        for b in batches:
+            us, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            found = []
+            for u, v, mine, its in zip(us, vs, b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if v not in kept:
+                    if len(kept) >= 8:
+                        kept.clear()
+                    kept[v] = set(word_shingles(its, shingle))
+                if jaccard(set(word_shingles(mine, shingle)), kept[v]) >= threshold:
+                    found.append((max(u, v), min(u, v)))
+            yield pa.RecordBatch.from_pylist(
+                [{"u": u, "v": v} for u, v in found], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    pairs = stored(pairs.select("u", "v").distinct(), "pairs")
+    for end in ("u", "v"):
+        ends = stored(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), "pair-ends")
+        labels = ends.join(texts.select(F.col("fp").alias(end), F.col("text").alias(f"text_{end}")), end)
+        labels = stored(labels, "pair-texts")
+        pairs = attach(pairs, labels, end, "n").drop("n")
+        pairs = stored(pairs, "pairs-with-text") if end == "u" else pairs
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def _as_long(threshold: float):
+    """Sets whose sizes differ more cannot reach the threshold."""
+    return F.least("grams", "its_grams") >= F.greatest("grams", "its_grams") * F.lit(threshold)
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (u, v), u > v, that join all `fp` of a shared bucket whose similarity reaches the threshold."""
+    sets = rows.groupBy("fp").agg(F.min("grams").alias("grams"), F.min("keys").alias("keys"))
+    entries = stored(sets.select("fp", "grams", F.explode("keys").alias("bucket")), "band-entries")
+    shared = stored(
+        entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "band-buckets")
+    members = stored(attach(entries, shared, "bucket", "size"), "band-members")
+    degrees = members.groupBy("fp").agg(F.sum("size").alias("met"), F.count(F.lit(1)).alias("n"))
+    degrees = stored(degrees, "band-degrees")
+    weighed = stored(attach(members, degrees, "fp", "n"), "band-weighed")
+
+    chosen = rows.join(degrees.select("fp"), "fp", "left_semi").groupBy("fp").agg(
+        F.min("text_hash").alias("h"))
+    chosen = chosen.select("fp", F.col("h").alias("text_hash"))
+    copies = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
+    wanted = stored(chosen.join(copies, "text_hash"), "wanted-texts")
+    texts = attach(
+        docs.select("text", F.xxhash64("text").alias("text_hash")), wanted, "text_hash", "n")
+    texts = stored(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+
+    centres = stored(
+        weighed.groupBy("bucket").agg(
+            F.max(F.struct("met", "fp", "grams")).alias("centre"), F.count(F.lit(1)).alias("size")),
+        "centres").select(
+        "bucket", "size", F.col("centre.fp").alias("v"), F.col("centre.grams").alias("its_grams"))
+    spokes = attach(members.drop("size"), centres, "bucket", "size").filter("fp <> v").filter(
+        _as_long(threshold))
+    first = stored(
+        _confirmed(spokes.select(F.col("fp").alias("u"), "v"), texts, shingle, threshold), "star-links")
+
+    tree = stored(components(first), "star-components")
+    roots = stored(
+        degrees.join(tree.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), "n"), "star-roots")
+    rooted = stored(attach(members.drop("size"), roots, "fp", "n").drop("n"), "rooted-members")
+    groups = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
+    largest = stored(
+        groups.groupBy("bucket").agg(
+            F.max(F.struct("part", "root")).alias("most"), F.count(F.lit(1)).alias("roots"),
+            F.sum("part").alias("size")).filter("roots > 1").select(
+            "bucket", F.col("most.root").alias("its_root"), "size"), "mixed-buckets")
+    mixed = stored(attach(rooted, largest, "bucket", "size").drop("size"), "mixed-members")
+    outside = mixed.filter("root <> its_root").select("bucket", "fp", "root", "grams")
+    others = mixed.select(
+        "bucket", F.col("fp").alias("v"), F.col("root").alias("v_root"), F.col("grams").alias("its_grams"),
+        (F.col("root") == F.col("its_root")).alias("inside"))
+    left = outside.join(others, "bucket").filter(
+        (F.col("root") != F.col("v_root")) & (F.col("inside") | (F.col("fp") > F.col("v")))
+        & _as_long(threshold)).select(F.col("fp").alias("u"), "v")
+    second = _confirmed(left, texts, shingle, threshold)
+    return first.unionByName(second).distinct()
+
+
+def _labelled(rows: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    tree = components(edges)
     grown = fps.join(tree.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     grown = stored(grown.withColumn("root", F.coalesce("root", "fp")), "roots")
     roots = stored(
@@ -149,12 +277,46 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: one document per component.
+def _distinct(rows: DataFrame) -> DataFrame:
+    return stored(
+        rows.groupBy("fp").agg(
+            F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fps")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, component_id and kept of every row.
+
+    Texts are lower-cased (A-Z); null and empty texts have fingerprint zero and link like
+    any other. Repeated rows share a component. `component_id` is the smallest doc_id
+    reachable (null only if all are null); `kept` marks that document. An empty table
+    gives an empty result.
+    """
+    rows = stored(fingerprints(docs), "fingerprints")
+    fps = _distinct(rows)
+    return _labelled(rows, fps, links(fps))
+
+
+def similar_dedup(
+    docs: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILARITY
+) -> DataFrame:
+    """As `near_dedup`, but texts link whose sets of word shingles have at least that Jaccard similarity.
+
+    `fp` is the hash of the set; texts without words are copies of one another. The bands
+    are chosen for thresholds of 0.8 and more: below, they would miss too many links.
+    """
+    if threshold < SIMILARITY:
+        raise ValueError(f"the bands are made for similarities of {SIMILARITY} and more")
+    rows = stored(signatures(docs, shingle), "signatures")
+    return _labelled(rows, _distinct(rows), similar_links(docs, rows, shingle, threshold))
+
+
+def keep_one(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` that stay: one document per component of `marked` (near_dedup of `docs`).
 
     Where texts of one component share the smallest doc_id, the least text hash stays.
     """
-    winners = near_dedup(docs).filter("kept").groupBy("component_id").agg(
+    marked = near_dedup(docs) if marked is None else marked
+    winners = marked.filter("kept").groupBy("component_id").agg(
         F.min(F.struct(F.coalesce("text_hash", F.lit(0)).alias("h"))).alias("w")).select(
         F.col("component_id").alias("id"), F.col("w.h").alias("h"))
     rows = docs.select(
