@@ -338,6 +338,34 @@ def test_licenses(corpus):
     assert {(r.doc_id, r.template) for r in licenses.scan_licenses(docs).collect()} >= want
 
 
+def test_license_lines_of_the_tables(spark):
+    """Every notice that stands in the given texts is found, also without its usual neighbours."""
+    lines = {
+        "all rights reserved": "all-rights-reserved-notice", "released under the mit license": "MIT-notice",
+        "licensed under the apache license, version 2.0": "Apache-2.0-notice",
+        "licensed under cc by-nc 4.0": "CC-BY-NC-4.0-notice",
+        "licensed under the gnu general public license, version 3": "GPL-3.0-notice"}
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = duckdb.sql(f"SELECT doc_id, lower(text) FROM '{path}' WHERE text IS NOT NULL").fetchall()
+    want = {(d, name) for d, t in rows for line, name in lines.items() if line in t}
+    assert {name for _, name in want} == set(lines.values())
+    found = {(r.doc_id, r.template) for r in licenses.scan_licenses(spark.read.parquet(path)).collect()}
+    assert found >= want
+
+
+def test_short_templates_and_bodies():
+    index = licenses.template_index({"short": "All rights reserved.", "long": "one two three four five"})
+    assert licenses.scan_text("ALL RIGHTS, reserved: all rights reserved. b all rights reservedly", index) == [
+        ("short", 1.0, [0, 3])]
+    only = licenses.template_index({"short": "All rights reserved."})
+    assert licenses.scan_text("x all rights reserved", only) == [("short", 1.0, [1])]
+    bodies = licenses.license_bodies()
+    whole = licenses.template_index(licenses.TEMPLATES | bodies)
+    for name, body in bodies.items():
+        text = " ".join([*(f"w{i}" for i in range(777)), body, *(f"v{i}" for i in range(777))])
+        assert name in {n for n, share, _ in licenses.scan_text(text, whole) if share == 1}
+
+
 def test_edited_license_inside_a_long_text():
     index = licenses.template_index(licenses.TEMPLATES)
     grant = licenses.TEMPLATES["MIT-grant"].split()

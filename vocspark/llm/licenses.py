@@ -6,12 +6,14 @@ template contains a whole window at the scan's stride. Templates give their wind
 offset, so a window inside an unchanged passage equals one of them. Two rows per band in
 sixteen bands find a window that shares half its shingles with probability 0.99. A candidate
 is confirmed by the share of the template's shingles, compared as texts, that stand around it.
+A template of under five words is one shingle of all its words, searched in every text.
 """
 
 from __future__ import annotations
 
 import re
 from functools import partial
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +52,51 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "licensed under CC BY-SA 4.0",
     "CC-BY-NC-4.0-notice": "licensed under CC BY-NC 4.0",
     "all-rights-reserved": "No part of this work may be reproduced without permission. All rights reserved.",
+    "all-rights-reserved-notice": "All rights reserved.",
+    "BSD-3-Clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission"),
+    "ISC-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+        "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies"),
+    "LGPL-header": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation"),
+    "LGPL-3.0-notice": "licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-header": (
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation"),
+    "AGPL-3.0-notice": "licensed under the GNU Affero General Public License, version 3",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License 2.0"),
+    "EPL-1.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0"),
+    "Unlicense-header": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-grant": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means."),
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+        "neighboring rights to this software to the public domain worldwide."),
+    "CC0-1.0-title": "CC0 1.0 Universal Public Domain Dedication",
 }
 
 
+def license_bodies() -> dict[str, str]:
+    """The full texts in `license_texts`, read on the driver only."""
+    folder = resources.files("vocspark.llm") / "license_texts"
+    return {
+        f.name.removesuffix(".txt") + "-body": f.read_text("utf-8")
+        for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 def shingles(words: list[str]) -> list[str]:
-    return [" ".join(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+    size = min(SHINGLE, len(words))
+    return [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)] if words else []
 
 
 def words(text: str | None) -> list[str]:
@@ -99,29 +141,38 @@ def band_keys(hashes: np.ndarray, lengths: list[int], dense: bool) -> dict[int,
 
 
 def template_index(templates: dict[str, str]):
-    """(names, shingle sets, window lengths, sorted band keys, template of each key)."""
+    """(names, shingle sets, window lengths, sorted band keys, template of each key, short templates)."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"over {MOST_TEMPLATES} templates: the index is broadcast")
-    names, sets, lengths, keys, owner = list(templates), [], [], [], []
+    names, sets, lengths, keys, owner, short = list(templates), [], [], [], [], {}
     for i, name in enumerate(names):
-        grams = shingles(words(templates[name]))
+        found = words(templates[name])
+        grams = shingles(found)
         if not grams:
-            raise ValueError(f"template {name} has under {SHINGLE} words")
+            raise ValueError(f"template {name} has no words")
         sets.append(frozenset(grams))
+        if len(found) < SHINGLE:
+            short[i] = f" {grams[0]} "
+            lengths.append(0)
+            continue
         lengths.append(window_length(len(grams)))
         found = np.unique(band_keys(_hashes(grams), [lengths[-1]], True)[lengths[-1]])
         keys.append(found)
         owner.append(np.full(len(found), i))
+    if not keys:
+        return names, sets, lengths, np.empty(0, np.uint64), np.empty(0, int), short
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
-    return names, sets, lengths, keys[order], owner[order]
+    return names, sets, lengths, keys[order], owner[order], short
 
 
 def candidates(hashes: np.ndarray, index) -> set[tuple[int, int]]:
     """(template, first shingle) of all windows that share a band key with a template."""
-    _, _, lengths, keys, owner = index
+    _, _, lengths, keys, owner, _ = index
     found = set()
-    distinct = sorted(set(lengths))
+    distinct = sorted(set(lengths) - {0})
+    if not distinct:
+        return found
     overlap = distinct[-1]
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at:at + _CHUNK + overlap]
@@ -136,11 +187,23 @@ def candidates(hashes: np.ndarray, index) -> set[tuple[int, int]]:
     return found
 
 
+def _places(joined: str, notice: str) -> list[int]:
+    """First words of every place of a short template in a text's words, each between spaces."""
+    places, at = [], joined.find(notice)
+    while at >= 0:
+        places.append(joined.count(" ", 0, at))
+        at = joined.find(notice, at + len(notice) - 1)
+    return places
+
+
 def scan_text(text: str | None, index) -> list[tuple[str, float, list[int]]]:
     """(template, containment, first words of the passages) of every template in a text."""
-    names, sets, lengths, _, _ = index
-    grams = shingles(words(text))
-    best: dict[int, tuple[float, list[int]]] = {}
+    names, sets, lengths, _, _, short = index
+    found = words(text)
+    joined = f" {' '.join(found)} "
+    best: dict[int, tuple[float, list[int]]] = {
+        t: (1.0, places) for t, notice in short.items() if (places := _places(joined, notice))}
+    grams = shingles(found) if len(found) >= SHINGLE else []
     for t, at in sorted(candidates(_hashes(grams), index)) if grams else ():
         size = len(sets[t])
         first = max(0, at - size)
@@ -173,7 +236,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     reported; a null doc_id stays null. An empty table gives an empty result.
     """
     index = docs.sparkSession.sparkContext.broadcast(
-        template_index(TEMPLATES if templates is None else templates))
+        template_index(TEMPLATES | license_bodies() if templates is None else templates))
     return docs.select("doc_id", "text").mapInArrow(
         partial(_scan, index=index),
         "doc_id long, template string, containment double, first_words array<int>")
