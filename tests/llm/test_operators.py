@@ -151,6 +151,23 @@ def test_curriculum_inverts_its_integral(spark):
         assert 100 * demand / ((mixing.START + mixing.END) / 2) == pytest.approx(r.m)
 
 
+def test_shares_of_sources_change_over_training(spark):
+    docs = frame(spark, [(i, "word " * 10, "en", "abc"[i % 3]) for i in range(3000)])
+    copies = [(p, r.row.source, r.target) for r in mixing.mix(docs).collect() for p in r.positions]
+    targets = {s: t for _, s, t in copies}
+    counts = lambda low, high: Counter(s for p, s, _ in copies if low <= p < high)
+    first, last, every = counts(0, 0.1), counts(0.9, 1), counts(0, 2)
+    for s, (start, end) in zip("abc", mixing.SCHEDULES):
+        assert every[s] * 10 == pytest.approx(targets[s], abs=10)
+        assert first[s] / every[s] == pytest.approx((0.95 * start + 0.05 * end) / 10, abs=0.005)
+        assert last[s] / every[s] == pytest.approx((0.05 * start + 0.95 * end) / 10, abs=0.005)
+    # `a` falls, `b` rises
+    assert first["a"] / first.total() > 1.5 * last["a"] / last.total()
+    assert last["b"] / last.total() > 1.5 * first["b"] / first.total()
+    with pytest.raises(ValueError):
+        mixing.mix(docs, schedules=((0, 0),))
+
+
 def test_stream_is_in_order(small):
     assert mixing.training_stream(small).columns == small.columns
     assert got(mixing.training_stream(small), "doc_id") == got(mixing.training_stream(small), "doc_id")

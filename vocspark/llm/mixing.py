@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a curriculum that changes over training.
 
-A source's weight moves linearly from `start` to `end` times its share while training runs
-from 0 to 1; the integral of that schedule, scaled to the source's target, is its cumulative
+A source's weight moves linearly from its own `start` to its own `end` times its share while
+training runs from 0 to 1, so the sources' shares of the stream change; the integral of that schedule, scaled to the source's target, is its cumulative
 token demand. Documents of a source stand on its token axis in a hashed order, each pass
 over the source following the one before. A copy whose middle lies below the target is
 taken, and the inverse of the demand at that middle is its training position.
@@ -9,7 +9,7 @@ taken, and the inverse of the demand at that middle is its training position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import WORD
@@ -18,6 +18,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 REPEATS = 2
 START, END = 1.5, 0.5
+SCHEDULES = ((START, END), (END, START), (1.0, 1.0))  # by source rank, as the weights
 
 
 def word_count(column: str):
@@ -25,18 +26,27 @@ def word_count(column: str):
 
 
 def source_targets(
-    sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS
+    sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS,
+    schedules=SCHEDULES,
 ) -> DataFrame:
     """Targets by water-filling: budget shared by weight, none above `repeats` times its size.
 
     `sizes` has one row per source (source, source_size). With sources by growing
     cap / weight, the level is the first at which the uncapped rest shares what the capped
-    leave. Sources are the only rows of these two windows.
+    leave. Sources are the only rows of these two windows. `start` and `end` are the
+    source's factors at both ends of training.
     """
+    if any(min(s) < 0 or sum(s) <= 0 for s in schedules):
+        raise ValueError("a schedule's factors are 0 or more, one of them above 0")
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rank = (F.row_number().over(order) - 1) % len(weights) + 1
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank)).withColumn(
-        "cap", F.col("source_size") * F.lit(repeats))
+    rank = F.row_number().over(order) - 1
+    ranked = sizes.withColumns({
+        "weight": F.element_at(F.array(*map(F.lit, weights)), rank % len(weights) + 1),
+        "cap": F.col("source_size") * F.lit(repeats),
+        **{
+            name: F.element_at(
+                F.array(*[F.lit(float(s[at])) for s in schedules]), rank % len(schedules) + 1)
+            for at, name in enumerate(("start", "end"))}})
     by_cap = Window.orderBy(
         F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,20 +61,21 @@ def source_targets(
     first_open = F.first(F.when(F.col("open"), F.col("level")), True).over(
         by_cap.rowsBetween(Window.unboundedPreceding, 0))
     return levelled.select(
-        "source", "source_size", "weight",
+        "source", "source_size", "weight", "start", "end",
         F.coalesce(first_open * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
-def position(middle, target, start: float = START, end: float = END):
+def position(middle, target, start=START, end=END):
     """Training time in [0, 1] at which the demand of a source reaches `middle` tokens."""
-    area = (middle / target) * F.lit((start + end) / 2)
-    slope = (end - start) / 2
-    if slope == 0:
-        return area / F.lit(start)
-    return (F.sqrt(F.lit(start ** 2) + F.lit(4 * slope) * area) - F.lit(start)) / F.lit(2 * slope)
+    start, end = (x if isinstance(x, Column) else F.lit(float(x)) for x in (start, end))
+    area = (middle / target) * (start + end)
+    root = F.sqrt(F.greatest(start * start + (end - start) * area, F.lit(0.0)))
+    return F.least(F.coalesce(F.try_divide(area, start + root), F.lit(0.0)), F.lit(1.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+def mix(
+    docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, schedules=SCHEDULES
+) -> DataFrame:
     """Every document with its source's target, the words taken and its training positions.
 
     Returns `row` (the input row as a struct), size, source_size, target, taken and
@@ -84,12 +95,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, repeats)
+    targets = source_targets(sizes, weights, budget, repeats, schedules)
     frame = buckets.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"),
         F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("base")
     ).join(targets, F.col("s").eqNullSafe(F.col("source"))).select(
-        "s", "b", "base", "source_size", "target")
+        "s", "b", "base", "source_size", "target", "start", "end")
     inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
@@ -100,7 +111,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     return placed.withColumn("middles", taken).select(
         "row", "size", "source_size", "target",
         (F.col("size") * F.size("middles")).alias("taken"),
-        F.transform("middles", lambda m: position(m, F.col("target"))).alias("positions"))
+        F.transform("middles", lambda m: position(
+            m, F.col("target"), F.col("start"), F.col("end"))).alias("positions"))
 
 
 def training_stream(docs: DataFrame, **parameters) -> DataFrame:
