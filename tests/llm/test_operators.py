@@ -285,6 +285,17 @@ def test_near_stage_keeps_one_of_similar_texts(spark):
         near_dedup.similar_dedup(stay, threshold=0.5)
 
 
+def test_one_row_stays_per_component(spark):
+    """Also of components whose ids are null or stand in another component too."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    rows = [(None, text["a"], "en", "a"), (None, text["b"], "en", "a"), (None, text["b"].upper(), "en", "a"),
+            (1, text["c"], "en", "a"), (1, text["d"], "en", "a"), (2, text["d"], "en", "a"),
+            (None, text["e"], "en", "a"), (5, text["e"], "en", "a"), (7, text["f"], "en", "a")]
+    stay = near_dedup.keep_one(frame(spark, rows)).collect()
+    assert sorted((r.text.lower(), r.doc_id or 0) for r in stay) == [
+        (text["a"], 0), (text["b"], 0), (text["c"], 1), (text["d"], 1), (text["e"], 5), (text["f"], 7)]
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = near_dedup.covering_masks()
     assert all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(64))

@@ -271,9 +271,10 @@ def _labelled(rows: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
     roots = stored(
         grown.groupBy("root").agg(
             F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")), "components")
-    labels = stored(attach(grown, roots, "root", "fps").select("fp", "component_id", "n"), "labels")
+    labels = stored(attach(grown, roots, "root", "fps").select(
+        "fp", "root", "component_id", "n"), "labels")
     return attach(rows, labels, "fp", "n").select(
-        "doc_id", "text_hash", "fp", "component_id",
+        "doc_id", "text_hash", "fp", "root", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -284,10 +285,10 @@ def _distinct(rows: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id and kept of every row.
+    """doc_id, text_hash, fp, root, component_id and kept of every row.
 
     Texts are lower-cased (A-Z); null and empty texts have fingerprint zero and link like
-    any other. Repeated rows share a component. `component_id` is the smallest doc_id
+    any other. Repeated rows share a component; `root` is its least fp. `component_id` is the smallest doc_id
     reachable (null only if all are null); `kept` marks that document. An empty table
     gives an empty result.
     """
@@ -313,12 +314,13 @@ def similar_dedup(
 def keep_one(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that stay: one document per component of `marked` (near_dedup of `docs`).
 
-    Where texts of one component share the smallest doc_id, the least text hash stays.
+    The smallest doc_id stays, a null one only where all are null; where texts of one
+    component share it, the least text hash stays.
     """
     marked = near_dedup(docs) if marked is None else marked
-    winners = marked.filter("kept").groupBy("component_id").agg(
-        F.min(F.struct(F.coalesce("text_hash", F.lit(0)).alias("h"))).alias("w")).select(
-        F.col("component_id").alias("id"), F.col("w.h").alias("h"))
+    winners = marked.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("w")).select(
+        F.col("w.doc_id").alias("id"), F.col("w.text_hash").alias("h"))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
