@@ -580,6 +580,14 @@ def test_pipeline_stages_keep_columns(spark, odd, source):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= (source == "odd")
 
 
+def test_language_stage_without_labels(spark):
+    """Without a labelled row only texts without a letter go."""
+    rows = [(d, t, None, s) for d, t, _, s in ODD]
+    stay = corpus_pipeline.keep_known_language(spark, frame(spark, rows), SMALL)
+    want = [d for d, t, *_ in rows if any(map(str.isalpha, t or ""))]
+    assert sorted((r.doc_id for r in stay.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark, texts):
     """Stages two, three and five hold against brute force on what stage one keeps."""
     packed = corpus_pipeline.run(spark, SMALL).collect()
