@@ -29,6 +29,7 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 _SEED = 42
 _CHUNK = 1 << 14
+_HELD = 300_000  # shingles that a task remembers while it compares sets
 
 
 def word_shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -183,15 +184,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: floa
 
     def run(batches):
         kept: dict[int, set] = {}
+        held = 0
+
+        def grams(fp, text):
+            nonlocal held
+            if fp not in kept:
+                if held > _HELD:
+                    kept.clear()
+                    held = 0
+                kept[fp] = set(word_shingles(text, shingle))
+                held += len(kept[fp])
+            return kept[fp]
+
         for b in batches:
             us, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
             found = []
             for u, v, mine, its in zip(us, vs, b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if v not in kept:
-                    if len(kept) >= 8:
-                        kept.clear()
-                    kept[v] = set(word_shingles(its, shingle))
-                if jaccard(set(word_shingles(mine, shingle)), kept[v]) >= threshold:
+                if jaccard(grams(u, mine), grams(v, its)) >= threshold:
                     found.append((max(u, v), min(u, v)))
             yield pa.RecordBatch.from_pylist(
                 [{"u": u, "v": v} for u, v in found], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
