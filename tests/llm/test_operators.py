@@ -63,8 +63,9 @@ def got(df, *columns):
 # ---- encoding, counts, files -----------------------------------------------
 
 @pytest.mark.parametrize("vocabulary", [BYTE_VOCABULARY, WORD_VOCABULARY])
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.one_of(st.characters(), st.sampled_from("'sltre \n\t AbÉß1²<|>\xa0’İ"))))
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.text(st.one_of(
+    st.characters(exclude_categories=["Cs"]), st.sampled_from("'sltre \n\t AbÉß1²<|>\xa0’İ"))))
 def test_ids_as_the_library_gives(vocabulary, text):
     encoder = ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
     assert encoder.ids(text).tolist() == encoder.whole(text)
