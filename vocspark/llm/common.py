@@ -41,15 +41,17 @@ def ascii_lower(column: str):
     return F.translate(F.coalesce(F.col(column), F.lit("")), upper, upper.lower())
 
 
-def attach(rows: DataFrame, labels: DataFrame, key: str, count: str) -> DataFrame:
+def attach(rows: DataFrame, labels: DataFrame, key: str, count: str, hint: str | None = None) -> DataFrame:
     """Inner join of `rows` with one row per key of `labels`, safe for hot keys.
 
     `count` is the number of rows a key has. Keys with over a thousandth of all of them
     number at most `HOT_SHARE`, so their labels are broadcast; all other keys go through
     a shuffle in which none is large. Both inputs should be stored: each is read twice.
+    `hint` names the join of these, where it is not left to Spark.
     """
     total = labels.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * HOT_SHARE > F.lit(total)
     hot, cold = labels.filter(is_hot), labels.filter(~is_hot)
+    cold = cold.hint(hint) if hint else cold
     marked = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(marked.join(cold, key))

@@ -432,7 +432,7 @@ def _fetched(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     copies = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
     wanted = stored(texts.join(copies, "text_hash"), "wanted-texts")
     found = attach(
-        docs.select("text", F.unhex(F.md5("text")).alias("text_hash")), wanted, "text_hash", "copies")
+        docs.select("text", F.unhex(F.md5("text")).alias("text_hash")), wanted, "text_hash", "copies", "merge")
     return members.join(found.groupBy("id").agg(F.first("text").alias("text")), "id")
 
 
