@@ -14,6 +14,30 @@ def test_topic_summary(gold):
     ]
 
 
+def test_all_aggregates_from_one_table_of_cells(gold, empty_gold):
+    for reviews in (gold, empty_gold):
+        cells = aggregate.sentiment_cells(reviews)
+        for made, want in (
+            (aggregate.topic_sentiment_from_cells(cells), aggregate.topic_sentiment_counts(reviews)),
+            (aggregate.department_sentiment_from_cells(cells), aggregate.department_sentiment(reviews)),
+            (aggregate.topic_summary_from_cells(cells), aggregate.topic_summary(reviews)),
+            (aggregate.report_kpis_from_cells(cells), aggregate.report_kpis(reviews)),
+        ):
+            assert sorted(tuples(made)) == sorted(tuples(want)) and made.dtypes == want.dtypes
+
+
+def test_cells_scan_the_reviews_once(spark, gold, tmp_path):
+    gold.write.parquet(str(tmp_path / "g"))
+    text = plan(aggregate.sentiment_cells(spark.read.parquet(str(tmp_path / "g"))))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert "texto_completo" not in text
+
+
+def test_in_order_numbers_missing_values_first(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "assunto string, qtd int")
+    assert tuples(rank.in_order(df, "assunto"), "rank") == [(1, None, 2), (2, "a", 3), (3, "b", 1)]
+
+
 def test_counts_agree(gold):
     total = gold.count()
     by_topic = aggregate.topic_sentiment_counts(gold)
@@ -92,5 +116,11 @@ def test_topic_review_samples(gold, empty_gold):
     assert rank.topic_review_samples(empty_gold).count() == 0
 
 
+def test_critical_negatives_are_all_there(gold):
+    got = rank.critical_negatives(gold, topics=1)
+    assert sorted(r.review_id for r in got.collect()) == ["1", "2"]
+    assert {(r.assunto, r.qtd_negativos) for r in got.collect()} == {("cor", 2)}
+
+
 def test_preview_orders_by_number(gold):
     assert [r.review_id for r in rank.preview(gold, 4).collect()] == ["1", "2", "3", "10"]

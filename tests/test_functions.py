@@ -136,28 +136,29 @@ def test_first_rows_per_group_with_a_hot_group(spark):
     assert "WindowGroupLimit" in plan(got)
 
 
-def test_text_prefix_key_follows_text_order(spark):
-    words = ["", "a", "aa", "ab", "abz", "b", "ção", "é", "z", "zé", "漢字", "漢", "a漢", "😀x"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    keyed = df.orderBy("w").select("w", ordering.text_prefix_key("w").alias("k")).collect()
-    keys = [r.k for r in keyed]
-    assert keys == sorted(keys) and max(keys) < 1 << 20
+@pytest.mark.parametrize("parts", [1, 5])
+def test_numbered(spark, parts):
+    """One number per row in the total order, texts of one script and first letter included."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(4) / 2, rng.choice("漢字a") + "".join(rng.choice("漢字ção") for _ in range(4)) + str(i))
+            for i in range(400)] + [(None, "x"), (0.5, None)]
+    df = spark.createDataFrame(rows, "p double, w string").repartition(parts)
+    got = ordering.numbered(df, [F.desc_nulls_last("p"), F.asc_nulls_first("w")], "n", start=0)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, (r[1] or "").encode()))
+    assert tuples(got, "n") == [(n, p, w) for n, (p, w) in enumerate(order)]
+    assert got.dtypes == [("n", "int"), *df.dtypes]
 
 
-def test_numbered_over_two_levels(spark):
-    rng = random.Random(3)
-    rows = [(rng.randrange(4) / 2, "".join(rng.choice("abc") for _ in range(4)) + str(i))
-            for i in range(400)]
-    df = spark.createDataFrame(rows, "p double, w string").repartition(5)
-    got = ordering.numbered(
-        df, [F.desc("p"), F.asc("w")], [-F.col("p"), ordering.text_prefix_key("w")], "n", start=0)
-    want = [(n, p, w) for n, (p, w) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))]
-    assert tuples(got, "n") == want
+def test_numbering_is_spread(spark):
+    """No task but the one that adds up partition counts sorts without a key."""
+    got = ordering.numbered(spark.range(1000).toDF("w"), [F.asc("w")], "n")
+    assert "SinglePartition" not in plan(got).split("BroadcastExchange")[0]
+    assert got.filter("n <> w + 1").count() == 0
 
 
 def test_numbered_empty(spark):
     df = spark.createDataFrame([], "w string")
-    assert ordering.numbered(df, [F.asc("w")], [ordering.text_prefix_key("w")], "n").count() == 0
+    assert ordering.numbered(df, [F.asc("w")], "n").count() == 0
 
 
 def test_strip_whitespace_of_any_kind(spark):

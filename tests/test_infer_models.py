@@ -66,6 +66,26 @@ def test_classify_lexicon_against_python(spark):
         assert got[str(i)] == (topic, mood)
 
 
+def test_a_lexicon_of_50_000_words(spark):
+    """The plan holds no word, and each topic's and mood's sums are right."""
+    lexicon = [(f"w{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'xyz' * (i // 260 + 1)}"[:60] + "q" * (i // 5000),
+                config.TOPICS[i % 12], 1 + i % 3) for i in range(50_000)]
+    polarity = [(w, 1 if i % 2 else -1) for i, (w, _, _) in enumerate(lexicon)]
+    said = [lexicon[i][0] for i in (3, 15, 15, 49_999)]
+    df = infer.classify_lexicon(texts(spark, [" ".join(said), "nada"]), lexicon, polarity)
+    small = infer.classify_lexicon(texts(spark, [" ".join(said), "nada"]), lexicon[:1], polarity[:1])
+    assert abs(len(plan(df)) - len(plan(small))) < 50
+    weight, balance = Counter(), 0
+    for w, topic, n in lexicon:
+        weight[topic] += n * said.count(w)
+    for w, sign in polarity:
+        balance += sign * said.count(w)
+    best = max(config.TOPICS, key=lambda t: (weight[t], -config.TOPICS.index(t)))
+    mood = "positivo" if balance > 0 else "negativo" if balance < 0 else "neutro"
+    got = {r.review_id: (r.assunto, r.sentimento) for r in parse.enrich(df).collect()}
+    assert got == {"0": (best, mood), "1": ("outro", "neutro")}
+
+
 def test_words_listed_twice_have_the_sum_of_their_weights(spark):
     topics = config.TOPICS[:2]
     lexicon = [("bom", topics[0], 2), ("bom", topics[0], 2), ("bom", topics[1], 3)]
@@ -110,7 +130,7 @@ def test_model_vectors_and_nulls(spark):
     assert [r.embedding for r in models.embed_with_model(df, make).collect()] == [[2.0, 0.5], None]
 
 
-@pytest.mark.parametrize("model", [lambda ts: ts[:-1], lambda ts: 1 / 0])
+@pytest.mark.parametrize("model", [lambda ts: ts[:-1], lambda ts: 1 / 0, lambda ts: [None, *ts[1:]]])
 def test_model_failures_fail_the_job(spark, model):
     df = spark.range(4).selectExpr("string(id) AS t").coalesce(1)
     with pytest.raises(Exception, match="model returned|ZeroDivision"):
@@ -132,13 +152,13 @@ def test_summary_prompt(spark, gold):
 
 
 def test_summaries(spark, gold, empty_gold):
-    samples = rank.topic_review_samples(gold)
+    samples = rank.critical_negatives(gold)
     assert tuples(infer.summarise_extractive(samples), "assunto") == [
         ("cor", 2, "- texto\nRevisar: cor"), ("estilo", 2, "- texto\nRevisar: estilo")]
     make = lambda limit: lambda ps: [f"{limit}" for _ in ps]
     asked = models.summarise_with_model(samples, make)
     assert tuples(asked, "assunto") == [("cor", 2, "300"), ("estilo", 2, "300")]
-    nothing = infer.summarise_extractive(rank.topic_review_samples(empty_gold))
+    nothing = infer.summarise_extractive(rank.critical_negatives(empty_gold))
     assert nothing.count() == 0
     assert [t for _, t in nothing.dtypes] == ["string", "bigint", "string"]
 
@@ -171,6 +191,31 @@ def test_semantic_map_against_numpy(spark):
     assert np.allclose(np.array([got[i] for i in range(80)]), want, atol=1e-8)
 
 
+def test_moments_merge_over_partitions(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 3)).astype(np.float32)
+    rows = [([float(v) for v in row],) for row in x] + [(None,)]
+    df = spark.createDataFrame(rows, "embedding array<float>").repartition(7)
+    got = semantic.moments(df).orderBy("i").collect()
+    assert [r.n for r in got] == [50] * 3
+    wide = x.astype(float)
+    assert np.allclose([r.total for r in got], wide.sum(axis=0))
+    assert np.allclose([r.products for r in got], wide.T @ wide)
+    assert plan(semantic.moments(df)).count("FlatMapGroupsInArrow") == 1
+    assert semantic.moments(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="at least two"):
+        semantic.principal_axes(df.limit(0))
+    uneven = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>")
+    with pytest.raises(Exception, match="length"):
+        semantic.moments(uneven.coalesce(1)).collect()
+
+
+def test_the_map_is_projected_in_the_jvm(spark):
+    df = spark.createDataFrame([("1", [1.0, 2.0], "a"), ("2", [2.0, 1.0], "a"), ("3", [0.0, 0.5], "b")],
+                               "review_id string, embedding array<double>, assunto string")
+    assert "Python" not in plan(semantic.semantic_map(df)) and "Arrow" not in plan(semantic.semantic_map(df))
+
+
 def test_semantic_join_is_inner_and_narrow(spark, gold):
     vectors = spark.createDataFrame(
         [("1", [1.0], 0), ("99", [2.0], 1)], "review_id string, embedding array<float>, label int")

@@ -8,13 +8,17 @@ from vocspark.operators import aggregate, quality, report
 
 
 def test_reconcile(spark):
+    def records(n):
+        return spark.range(n).agg(F.count("*").alias("records"))
+
     a, b = spark.range(5).toDF("x"), spark.range(4).toDF("y")
-    assert tuples(quality.reconcile_counts(a, a)) == [(5, 5, True)]
-    assert tuples(quality.reconcile_counts(a, b)) == [(5, 4, False)]
-    assert tuples(quality.reconcile_counts(a.limit(0), b.limit(0))) == [(0, 0, True)]
-    assert quality.require_equal_counts(a, a) == 5
-    with pytest.raises(quality.CountMismatch, match="5 rows, table has 4"):
-        quality.require_equal_counts(a, b)
+    assert tuples(quality.reconcile_counts(records(5), a)) == [(5, 5, 5, True)]
+    assert tuples(quality.reconcile_counts(records(5), b)) == [(5, 4, 4, False)]
+    assert tuples(quality.reconcile_counts(records(4), b, written=5)) == [(4, 5, 4, False)]
+    assert tuples(quality.reconcile_counts(records(0), b.limit(0))) == [(0, 0, 0, True)]
+    assert quality.require_equal_counts(records(5), a, 5) == 5
+    with pytest.raises(quality.CountMismatch, match="5 records, 4 rows were written, table has 4"):
+        quality.require_equal_counts(records(5), b)
 
 
 def test_blank_rules_differ(spark):
@@ -58,8 +62,8 @@ def test_header(gold):
 
 def test_criticality_order_and_worst(gold, empty_gold):
     summary = aggregate.topic_summary(gold)
-    assert [(r.assunto, r.band) for r in report.criticality_bands(summary).collect()] == [
-        ("estilo", "red"), ("cor", "red"), ("tecido", "green"), ("vestido", "green")]
+    assert [(r.rank, r.assunto, r.band) for r in report.criticality_bands(summary).orderBy("rank").collect()] == [
+        (1, "estilo", "red"), (2, "cor", "red"), (3, "tecido", "green"), (4, "vestido", "green")]
     assert tuples(report.worst_topic(summary)) == [("estilo", 100.0, 1.5, 2, 7)]
     assert tuples(report.worst_topic(aggregate.topic_summary(empty_gold))) == []
 
@@ -75,5 +79,5 @@ def test_summary_lines(spark):
 def test_summary_cards(spark):
     rows = [("cor", 1, "a"), ("preço", 2, "b")]
     df = spark.createDataFrame(rows, "assunto string, qtd_negativos bigint, resumo string")
-    assert [tuple(r) for r in report.summary_cards(df).collect()] == [("PREÇO", 2, "b"), ("COR", 1, "a")]
+    assert tuples(report.summary_cards(df), "rank") == [(1, "PREÇO", 2, "b"), (2, "COR", 1, "a")]
     assert report.summary_cards(df.filter(F.lit(False))).count() == 0

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import plan, tuples
 from vocspark import config
-from vocspark.operators import infer, models, semantic
+from vocspark.operators import infer, models, quality, semantic
 from vocspark.plans import layers
-from vocspark.sources import reviews_csv, scratch, tables
+from vocspark.sources import answers, reviews_csv, scratch, tables
 
 CSV = (
     ',Clothing ID,Age,Title,Review Text,Rating,Recommended IND,Positive Feedback Count,'
@@ -98,6 +98,79 @@ def test_split_reader_never_loses_rows(spark, tmp_path, text):
         assert got == want
 
 
+def both_readers(spark, path, **options):
+    return [reader(spark, str(path), **options) for reader in (reviews_csv.read_csv, reviews_csv.read_large_csv)]
+
+
+def test_rows_carry_their_file(spark, tmp_path):
+    for name, ids in (("a.csv", "12"), ("b c.csv", "3")):
+        (tmp_path / name).write_text("id,t\n" + "".join(f'{i},"x\ny"\n' for i in ids))
+    for df in both_readers(spark, tmp_path, source="_source_file"):
+        got = {(r.id, r._source_file) for r in reviews_csv.add_audit(df).collect()}
+        assert {(i, n.replace("%20", " ")) for i, n in got} == {("1", "a.csv"), ("2", "a.csv"), ("3", "b c.csv")}
+
+
+def test_headers_that_differ_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a\n1,x\n")
+    (tmp_path / "b.csv").write_text("a,id\ny,2\n")
+    for df in both_readers(spark, tmp_path):
+        with pytest.raises(Exception, match="(?i)header"):
+            df.collect()
+
+
+def test_blank_headers_that_differ_are_counted_as_such(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",a\r\n1,x\r\n")
+    (tmp_path / "b.csv").write_text("\n,a\n1,x\n")
+    assert reviews_csv.record_count(spark, str(tmp_path)).first().records == 2
+    (tmp_path / "c.csv").write_text("a,\n1,x\n")
+    with pytest.raises(Exception, match="headers differ"):
+        reviews_csv.record_count(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("header", [",a\n", "id,id\n", "id,_c1\n", '"i d","a,b"\n'])
+def test_odd_headers(spark, tmp_path, header):
+    (tmp_path / "a.csv").write_text(header + "1,x\n")
+    (tmp_path / "b.csv").write_text(header + "2,y\n")
+    plain, split = both_readers(spark, tmp_path)
+    assert plain.columns == split.columns
+    assert sorted(tuples(plain)) == sorted(tuples(split)) == [("1", "x"), ("2", "y")]
+
+
+def test_records_with_other_numbers_of_fields_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a\n1,x\n2,y,surplus\n3\n")
+    for df in both_readers(spark, tmp_path, malformed="bad"):
+        assert {(r.id, r.bad is not None) for r in df.collect()} == {("1", False), ("2", True), ("3", True)}
+    layout = layout_in(spark, tmp_path / "db", "malformed")
+    with pytest.raises(quality.CountMismatch, match="2 records"):
+        layers.bronze(spark, str(tmp_path / "a.csv"), layout)
+    assert layers.bronze(spark, str(tmp_path / "a.csv"), layout, allow_malformed=True).count() == 3
+
+
+def test_mixed_line_ends_are_refused(spark, tmp_path):
+    """`read_csv` would merge two rows of this file: the independent count shows it."""
+    path = tmp_path / "mixed.csv"
+    path.write_bytes(b'id,a\r\n1,x\r\n2,y\n3,"p\r\nq"\n4,"p\nq"\n')
+    assert reviews_csv.record_count(spark, str(path)).first().records == 4
+    with pytest.raises(Exception, match="end in different ways"):
+        reviews_csv.read_large_csv(spark, str(path)).collect()
+    with pytest.raises(quality.CountMismatch):
+        layers.bronze(spark, str(path), layout_in(spark, tmp_path / "db", "mixed"), allow_malformed=True)
+
+
+@pytest.mark.parametrize("text, records", [
+    ("", 0), ("id,a\n", 0), ("id,a\n1,x", 1), ("id,a\r1,x\r2,y\r", 2), ('id,a\n1,"x\r\n\r\ny"\n\n2,z\n', 2)])
+def test_record_count(spark, tmp_path, text, records):
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    assert reviews_csv.record_count(spark, str(tmp_path / "a.csv")).first().records == records
+
+
+def test_a_reader_that_loses_rows_fails_the_load(spark, tmp_path, csv_file, monkeypatch):
+    whole = reviews_csv.read_reviews
+    monkeypatch.setattr(reviews_csv, "read_reviews", lambda *a: whole(*a).filter("_c0 <> '2'"))
+    with pytest.raises(quality.CountMismatch, match="4 records, 3 rows"):
+        layers.bronze(spark, csv_file, layout_in(spark, tmp_path / "db", "loses"))
+
+
 def test_names_and_audit(spark, csv_file):
     df = reviews_csv.sanitize_names(reviews_csv.read_csv(spark, csv_file))
     assert df.columns == list(config.RENAMES)
@@ -165,15 +238,104 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path, gold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_fill_missing_runs_the_job_for_new_keys_only(spark, tmp_path):
-    layout = layout_in(spark, tmp_path, "fill", buckets=2)
-    name = layout.table("silver", "t")
-    source = spark.range(6).selectExpr("string(id) AS review_id", "1 AS v")
-    mark = lambda tag: (lambda df: df.withColumn("tag", F.lit(tag)))
-    tables.fill_missing(source.filter("review_id < '4'"), mark("old"), name, layout, bucket_by="review_id")
-    got = tables.fill_missing(source, mark("new"), name, layout, bucket_by="review_id")
-    assert tuples(got.select("review_id", "tag"), "review_id") == [
-        (str(i), "old" if i < 4 else "new") for i in range(6)]
+def test_a_failed_overwrite_leaves_the_old_table(spark, tmp_path):
+    layout = layout_in(spark, tmp_path, "staged")
+    name = layout.table("gold", "t")
+    tables.write_table(spark.range(3).toDF("a"), name, layout)
+    broken = spark.range(100).selectExpr("if(id = 99, raise_error('broken'), id) AS b")
+    with pytest.raises(Exception, match="broken"):
+        tables.write_table(broken, name, layout)
+    assert sorted(tuples(spark.table(name))) == [(0,), (1,), (2,)]
+    # a table may be replaced by rows read from itself
+    tables.write_table(spark.table(name).selectExpr("a + 1 AS a"), name, layout)
+    assert sorted(tuples(spark.table(name))) == [(1,), (2,), (3,)]
+    names = {t.name for t in spark.catalog.listTables("g_staged")}
+    assert names == {"t"}
+
+
+def test_a_replacement_cut_off_between_its_renames_is_undone(spark, tmp_path):
+    layout = layout_in(spark, tmp_path, "cut")
+    name = layout.table("gold", "t")
+    tables.write_table(spark.range(3).toDF("a"), name, layout)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}{tables.BEFORE}")
+    tables.restore(spark, name)
+    assert spark.table(name).count() == 3
+    tables.write_table(spark.range(1).toDF("a"), f"{name}{tables.BEFORE}", layout, mode="append")
+    tables.restore(spark, name)
+    assert spark.table(name).count() == 3 and not spark.catalog.tableExists(f"{name}{tables.BEFORE}")
+
+
+class Asked:
+    """A model that keeps count of what it is asked and may die."""
+
+    def __init__(self, spark):
+        self.texts = spark.sparkContext.accumulator(0)
+
+    def job(self, tag, dies_at=None):
+        texts = self.texts
+
+        def make():
+            def model(asked):
+                if dies_at is not None and any(dies_at in t for t in asked):
+                    raise RuntimeError("the model died")
+                texts.add(len(asked))
+                return [f"{tag}:{t}" for t in asked]
+            return model
+
+        return partial(models.apply_model, make_model=make, text="texto_completo", out="answer", out_type="string")
+
+
+def reviews(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "review_id string, texto_completo string")
+
+
+def answered(spark, layout, texts, job, version="", slices=4):
+    got = answers.with_answers(
+        reviews(spark, texts), job, "answer", layout.table("silver", "answers"), layout, version, slices=slices)
+    return {r.review_id: r.answer for r in got.collect()}
+
+
+def test_changed_new_and_gone_reviews(spark, tmp_path):
+    layout, asked = layout_in(spark, tmp_path, "resume"), Asked(spark)
+    first = answered(spark, layout, {"1": "a", "2": "b", "3": "a", "4": "d"}, asked.job("x"))
+    assert first == {"1": "x:a", "2": "x:b", "3": "x:a", "4": "x:d"}
+    assert asked.texts.value == 3  # a text that occurs twice is asked once
+    second = answered(spark, layout, {"1": "a", "2": "changed", "5": "d", "6": ""}, asked.job("y"))
+    assert second == {"1": "x:a", "2": "y:changed", "5": "x:d", "6": "y:"} and asked.texts.value == 5
+    # another model or prompt asks everything again
+    third = answered(spark, layout, {"1": "a", "2": "b"}, asked.job("z"), version="2")
+    assert third == {"1": "z:a", "2": "z:b"} and asked.texts.value == 7
+    left = answers.forget_unused(reviews(spark, {"1": "a"}), layout.table("silver", "answers"), layout, "2")
+    assert left.count() == 1
+    assert answered(spark, layout, {}, asked.job("w")) == {} and asked.texts.value == 7
+
+
+def test_a_model_that_dies_is_asked_only_for_what_was_not_committed(spark, tmp_path):
+    layout, asked = layout_in(spark, tmp_path, "dies"), Asked(spark)
+    texts = {str(i): f"text {i}" for i in range(60)}
+    journal = layout.table("silver", "answers")
+    part = F.pmod(F.xxhash64(answers.request_key("texto_completo")), F.lit(4))
+    parts = {r.review_id: r.p for r in reviews(spark, texts).select("review_id", part.alias("p")).collect()}
+    last = next(t for t in texts if parts[t] == 3)
+    with pytest.raises(Exception, match="the model died"):
+        answered(spark, layout, texts, asked.job("x", dies_at=f"text {last}"))
+    committed = spark.table(journal).count()
+    assert committed == sum(p < 3 for p in parts.values()) and 0 < committed < 60
+    before = asked.texts.value
+    got = answered(spark, layout, texts, asked.job("y"))
+    assert asked.texts.value - before == 60 - committed
+    assert got == {i: f"{'x' if parts[i] < 3 else 'y'}:{t}" for i, t in texts.items()}
+    assert not spark.catalog.tableExists(f"{journal}_pending")
+
+
+def test_missing_texts_and_rows_left_twice(spark, tmp_path):
+    layout = layout_in(spark, tmp_path, "odd")
+    job = lambda df: df.withColumn("answer", F.coalesce("texto_completo", F.lit("none")))
+    assert answered(spark, layout, {"1": None, "2": "", "3": "none"}, job) == {"1": "none", "2": "", "3": "none"}
+    journal = layout.table("silver", "answers")
+    doubled = spark.createDataFrame(spark.table(journal).collect(), spark.table(journal).schema)
+    tables.write_table(doubled, journal, layout, mode="append")
+    assert answered(spark, layout, {"1": None, "2": ""}, job) == {"1": "none", "2": ""}
 
 
 def test_spread_only_where_splits_are_few(spark):
@@ -215,6 +377,8 @@ def test_layers_end_to_end(spark, tmp_path, csv_file, split_files, buckets):
     run(sample=3, resume=True)
     assert asked.value == 3
     assert spark.table(layout.table("gold", "reviews_classified")).count() == 3
+    names = {r._source_file for r in spark.table(layout.table("bronze", "reviews")).collect()}
+    assert names == {"reviews.csv"}
     layers.drop_intermediates(spark, layout)
     assert not spark.catalog.tableExists(layout.table("silver", "reviews_limpo"))
     assert spark.catalog.tableExists(layout.table("silver", "reviews_embeddings"))

@@ -30,10 +30,6 @@ def is_sentiment(name: str, col: str = "sentimento") -> Column:
     return F.col(col) == name
 
 
-def indicator(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
-
-
 def percentage(part: Column, whole: Column, digits: int = 1) -> Column:
     """part / whole in percent, 0 for an empty whole."""
     return F.when(whole > 0, F.round(part / whole * 100, digits)).otherwise(F.lit(0.0))

@@ -13,7 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id()
+from vocspark.sources.scratch import shared_folder
+
+# monotonically_increasing_id() holds the partition above the row's place in it
+_PARTITION_SHIFT = 33
+_ROW_IN_PARTITION = (1 << _PARTITION_SHIFT) - 1
 
 
 def review_order(col: str = "review_id") -> list[Column]:
@@ -83,49 +87,22 @@ def first_rows_per_group(
     )
 
 
-def text_prefix_key(col: str) -> Column:
-    """A coarse key that never decreases as the text increases; at most 2**20 values."""
-    top = 1023
-    first = F.least(F.ascii(F.col(col)), F.lit(top))
-    second = F.least(F.ascii(F.substring(col, 2, 1)), F.lit(top))
-    return first * (top + 1) + F.when(first < top, second).otherwise(0)
-
-
-def numbered(
-    df: DataFrame,
-    order: Sequence[Column],
-    levels: Sequence[Column],
-    name: str,
-    start: int = 1,
-) -> DataFrame:
-    """Number all rows in `order` without sorting them in one task.
+def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
+    """Number all rows in `order`, a total order, without sorting them in one task.
 
-    `levels` are coarse keys, outermost first: ordering by them and then by `order`
-    must equal ordering by `order` alone. A row's number is the size of all earlier
-    groups plus its place in its own group, so one task only adds up group sizes of
-    the outermost level, and any other task one group.
+    Rows are dealt over range partitions and sorted there; a number is a row's place in its
+    partition plus the rows of all earlier ones, of which only the counts, one per partition, come
+    together. The bounds of the ranges are sampled, so the sorted rows are written to the shared folder
+    first: every later reading sees the same partitions.
     """
-    keys = [f"_level{i}" for i in range(len(levels))]
-    keyed = df.withColumns(dict(zip(keys, levels)))
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        keyed.join(_rows_before(sizes, keys), keys)
-        .withColumn(name, (F.col("_before") + place + (start - 1)).cast("int"))
-        .select(name, *df.columns)
-    )
-
-
-def _rows_before(sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group, the number of rows in the groups ordered ahead of it."""
-    *outer, inner = keys
-    ahead = Window.partitionBy(*outer).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum("_rows").over(ahead), F.lit(0))
-    if not outer:
-        return sizes.select(inner, within.alias("_before"))
-    totals = sizes.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
-    return (
-        sizes.withColumn("_within", within)
-        .join(_rows_before(totals, outer), outer)
-        .select(*keys, (F.col("_before") + F.col("_within")).alias("_before"))
-    )
+    spark = df.sparkSession
+    path = shared_folder(spark, "numbered")
+    seat = F.monotonically_increasing_id()
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seat", seat).write.parquet(path)
+    seated = spark.read.parquet(path).withColumn("_part", F.shiftright("_seat", _PARTITION_SHIFT))
+    counts = seated.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_seat").bitwiseAND(F.lit(_ROW_IN_PARTITION)) + start
+    # a row per partition, never more than `spark.sql.shuffle.partitions`
+    return seated.join(F.broadcast(before), "_part").select(place.cast("int").alias(name), *df.columns)

@@ -6,16 +6,17 @@ None of them shuffles the reviews: tokens are counted inside each row.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark import config
+from vocspark.functions.ordering import first_rows_per_group
 from vocspark.functions.text import tokens
 
 _CELLS_AT_ONCE = 1 << 22
@@ -83,8 +84,8 @@ def embedding_cells(df: DataFrame, key: str = "review_id", col: str = "embedding
 
 def classify_lexicon(
     df: DataFrame,
-    lexicon: Sequence[tuple[str, str, int]],
-    polarity: Sequence[tuple[str, int]],
+    lexicon: Iterable[tuple[str, str, int]],
+    polarity: Iterable[tuple[str, int]],
     topics: Sequence[str] = config.TOPICS,
     text: str = "texto_completo",
     out: str = "classificacao_json",
@@ -93,65 +94,72 @@ def classify_lexicon(
 
     The topic with the highest summed weight of its words wins, ties go to the
     earlier topic of the list, no hit to the fallback. The sign of the summed polarity
-    gives the sentiment.
+    gives the sentiment. A word listed more than once has the sum of its weights.
+
+    Each listed word has one row of weights, one per topic and one for the polarity, and is looked
+    up once per batch. The lists go to the executors as one broadcast value: they are given by the
+    caller and do not grow with the reviews, nor does the plan with them.
     """
-    listed = dict.fromkeys([w for w, _, _ in lexicon] + [w for w, _ in polarity])
-    heard = F.filter(tokens(text), lambda word: word.isin(*listed))
-    scored = df.withColumn("_heard", heard)
-    candidates = [
-        F.struct(
-            _weight("_heard", [(w, n) for w, t, n in lexicon if t == topic]).alias("score"),
-            F.lit(-place).alias("place"),
-            F.lit(topic).alias("assunto"),
-        )
-        for place, topic in enumerate(topics)
+    rows, weights = _word_weights(lexicon, polarity, topics)
+    held = df.sparkSession.sparkContext.broadcast((rows, weights))
+    answers = [
+        json.dumps({"assunto": topic, "sentimento": mood}, ensure_ascii=False, separators=(",", ":"))
+        for topic in (*topics, config.FALLBACK_TOPIC)
+        for mood in (config.NEGATIVE, config.NEUTRAL, config.POSITIVE)
     ]
-    scored = scored.withColumns(
-        {
-            "_best": F.array_max(F.array(*candidates)),
-            "_balance": _weight("_heard", polarity),
-        }
-    )
-    topic = F.when(F.col("_best.score") > 0, F.col("_best.assunto")).otherwise(
-        config.FALLBACK_TOPIC
-    )
-    sentiment = (
-        F.when(F.col("_balance") > 0, config.POSITIVE)
-        .when(F.col("_balance") < 0, config.NEGATIVE)
-        .otherwise(config.NEUTRAL)
-    )
-    answer = F.to_json(F.struct(topic.alias("assunto"), sentiment.alias("sentimento")))
-    return scored.withColumn(out, answer).drop("_heard", "_best", "_balance")
-
+    fallback = len(topics)
 
-def _weight(words: str, weights: Iterable[tuple[str, int]]) -> Column:
-    """Summed weight of an array of words; a word listed twice has both, one not listed 0."""
-    zero = F.lit(0).cast("bigint")
-    summed: Counter[str] = Counter()
-    for word, weight in weights:
-        summed[word] += weight
-    if not summed:
-        return zero
-    table = F.create_map(*(F.lit(x) for pair in summed.items() for x in pair))
-    return F.aggregate(words, zero, lambda total, w: total + F.coalesce(table[w], F.lit(0)))
-
-
-def summarise_extractive(samples: DataFrame, terms: int = 3, min_letters: int = 4) -> DataFrame:
+    @F.arrow_udf("string")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows, weights = held.value
+        for words in batches:
+            coded = words.flatten().dictionary_encode()
+            known = np.array([rows.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            row = known[coded.indices.to_numpy()]
+            heard = row >= 0
+            review = pc.list_parent_indices(words).to_numpy()[heard]
+            sums = np.zeros((len(words), fallback + 1), np.int64)
+            np.add.at(sums, review, weights[row[heard]])
+            scores = np.hstack([sums[:, :fallback], np.zeros((len(words), 1), np.int64)])
+            best = np.where(scores.max(axis=1) > 0, scores.argmax(axis=1), fallback)
+            mood = np.sign(sums[:, fallback]) + 1
+            yield pa.array([answers[i] for i in (3 * best + mood).tolist()], pa.string())
+
+    return df.withColumn(out, answer.asNondeterministic()(tokens(text)))
+
+
+def _word_weights(
+    lexicon: Iterable[tuple[str, str, int]], polarity: Iterable[tuple[str, int]], topics: Sequence[str]
+) -> tuple[dict[str, int], np.ndarray]:
+    """Row number per word; per row the weight for each topic, then the polarity."""
+    place = {topic: i for i, topic in enumerate(topics)}
+    entries = [(word, place[topic], weight) for word, topic, weight in lexicon if topic in place]
+    entries += [(word, len(place), weight) for word, weight in polarity]
+    rows: dict[str, int] = {}
+    for word, _, _ in entries:
+        rows.setdefault(word, len(rows))
+    weights = np.zeros((len(rows) + 1, len(place) + 1), np.int64)
+    for word, column, weight in entries:
+        weights[rows[word], column] += weight
+    return rows, weights
+
+
+def summarise_extractive(negatives: DataFrame, terms: int = 3, min_letters: int = 4) -> DataFrame:
     """The words most reviews of a topic share, as bullet lines, and a closing line.
 
-    A stand-in that keeps the report runnable and testable without a model.
+    Words are counted over all the reviews given, first inside each task, so a topic with a large part of
+    them crosses the shuffle as one row per task and word. A stand-in that keeps the report runnable and
+    testable without a model.
     """
     topic = ["assunto", "qtd_negativos"]
     long_words = F.filter(
         F.array_distinct(tokens("texto_completo")), lambda w: F.length(w) >= min_letters
     )
     # a review without such words keeps its topic in, as a NULL word
-    words = samples.select(*topic, F.explode_outer(long_words).alias("word"))
+    words = negatives.select(*topic, F.explode_outer(long_words).alias("word"))
     frequency = words.groupBy(*topic, "word").agg(F.count("word").alias("reviews"))
-    order = Window.partitionBy(*topic).orderBy(F.desc("reviews"), F.asc("word"))
-    best = frequency.withColumn("place", F.row_number().over(order)).filter(
-        F.col("place") <= terms
-    )
+    # a topic's vocabulary has no bound: its best words are found per task first
+    best = first_rows_per_group(frequency, terms, topic, [F.desc("reviews"), F.asc("word")], "place")
     ranked = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word"))))
     bullets = F.transform(ranked, lambda b: F.concat(F.lit("- "), b.word))
     closing = F.array(F.concat(F.lit("Revisar: "), F.col("assunto")))

@@ -3,7 +3,8 @@
 A model is given as a factory: `make_model()` runs once per task and returns
 `fn(list[str]) -> list`, one result per input and in the same order. Only the text
 column travels to Python, in Arrow batches; all other columns stay in the JVM. An
-exception or a result of another length fails the task, so no row is lost quietly.
+exception, a result of another length or a missing result for a text fails the task, so no
+row is lost quietly; only a missing text may have a missing result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark import config
+from vocspark.operators.rank import review_samples
 
 Model = Callable[[list[str]], Sequence]
 ModelFactory = Callable[[], Model]
@@ -44,6 +46,8 @@ def apply_model(
                 got = list(model(asked))
                 if len(got) != len(asked):
                     raise ValueError(f"model returned {len(got)} results for {len(asked)} texts")
+                if any(a is not None and r is None for a, r in zip(asked, got)):
+                    raise ValueError("model returned no result for a text")
                 results.extend(got)
             yield pd.Series(results, index=texts.index, dtype=object)
 
@@ -99,15 +103,16 @@ def summary_prompts(samples: DataFrame, template: str = config.SUMMARY_PROMPT) -
 
 
 def summarise_with_model(
-    samples: DataFrame,
+    negatives: DataFrame,
     make_model: Callable[[int], Model],
     max_tokens: int = config.SUMMARY_MAX_TOKENS,
     at_once: int = config.TOP_TOPICS,
+    k: int = config.REVIEWS_PER_SUMMARY,
 ) -> DataFrame:
-    """Summaries written by a model, `at_once` topics side by side.
+    """Summaries written by a model from a prompt with the first k reviews of each topic.
 
-    `make_model` is given the token limit.
+    `at_once` topics are asked side by side; `make_model` is given the token limit.
     """
-    prompts = summary_prompts(samples).repartition(at_once)
+    prompts = summary_prompts(review_samples(negatives, k)).repartition(at_once)
     answered = apply_model(prompts, lambda: make_model(max_tokens), "prompt", "resumo", "string")
     return answered.select("assunto", "qtd_negativos", "resumo")

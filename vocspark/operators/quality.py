@@ -15,21 +15,30 @@ class CountMismatch(AssertionError):
     """Source and table hold different numbers of rows."""
 
 
-def reconcile_counts(source: DataFrame, table: DataFrame) -> DataFrame:
-    """Row counts of a source and the table loaded from it. Read both with the same options."""
-    tagged = [df.select(F.lit(tag).alias("_side")) for tag, df in (("s", source), ("t", table))]
-    counted = tagged[0].unionAll(tagged[1]).agg(
-        F.count_if(F.col("_side") == "s").alias("source_rows"),
-        F.count_if(F.col("_side") == "t").alias("table_rows"),
+def reconcile_counts(records: DataFrame, table: DataFrame, written: int | None = None) -> DataFrame:
+    """One row: records of the source files, rows written, rows of the table, and whether all agree.
+
+    `records` is a one-row frame with the number of records, counted without the reader that loaded
+    the table (`reviews_csv.record_count`): a reader that loses rows does not agree with itself here. `written` is
+    what the write observed, by default the rows of the table.
+    """
+    rows = table.agg(F.count(F.lit(1)).alias("table_rows"))
+    counted = rows.select(
+        records.scalar().alias("source_rows"),
+        (F.col("table_rows") if written is None else F.lit(written).cast("bigint")).alias("written_rows"),
+        "table_rows",
     )
-    return counted.withColumn("passed", F.col("source_rows") == F.col("table_rows"))
+    same = (F.col("source_rows") == F.col("written_rows")) & (F.col("written_rows") == F.col("table_rows"))
+    return counted.withColumn("passed", same)
 
 
-def require_equal_counts(source: DataFrame, table: DataFrame) -> int:
-    """Number of rows; raises CountMismatch when the two sides differ."""
-    row = reconcile_counts(source, table).first()
+def require_equal_counts(records: DataFrame, table: DataFrame, written: int | None = None) -> int:
+    """Number of rows; raises CountMismatch when any of the counts differ."""
+    row = reconcile_counts(records, table, written).first()
     if not row.passed:
-        raise CountMismatch(f"source has {row.source_rows} rows, table has {row.table_rows}")
+        raise CountMismatch(
+            f"source has {row.source_rows} records, {row.written_rows} rows were written, "
+            f"table has {row.table_rows}")
     return row.table_rows
 
 

@@ -14,7 +14,6 @@ from vocspark.functions.ordering import (
     first_rows_per_group,
     numbered,
     review_order,
-    text_prefix_key,
 )
 from vocspark.operators.aggregate import negatives_by_topic
 
@@ -44,22 +43,33 @@ def critical_topics(gold: DataFrame, n: int = config.TOP_TOPICS) -> DataFrame:
 def topic_catalog(gold: DataFrame) -> DataFrame:
     """Every topic with its position in alphabetical order, from 0."""
     topics = gold.select("assunto").distinct()
-    out = numbered(topics, [F.asc("assunto")], [text_prefix_key("assunto")], "ordinal", start=0)
-    return out.select("assunto", "ordinal")
+    return numbered(topics, [F.asc("assunto")], "ordinal", start=0).select("assunto", "ordinal")
+
+
+def in_order(df: DataFrame, *keys: str, rank: str = "rank") -> DataFrame:
+    """A stored aggregate as it is read: rows numbered by `keys` ascending, missing values first.
+
+    Order is no property of a table, so it is a column. Keys have no bound on their number.
+    """
+    return numbered(df, [F.col(k).asc_nulls_first() for k in keys], rank)
 
 
 def pain_ranking(summary: DataFrame) -> DataFrame:
     """Topics by share of negative reviews, flagged when above the median topic.
 
     Shares carry one decimal, so there are at most 1,001 of them: the median keeps
-    a count per share and the outer numbering level has that many groups.
+    a count per share.
     """
     median = summary.agg(F.median("pct_negativo")).scalar()
     flagged = summary.select(
         "assunto", "pct_negativo", (F.col("pct_negativo") > median).alias("above_median")
     )
-    order = [F.desc("pct_negativo"), F.asc("assunto")]
-    return numbered(flagged, order, [-F.col("pct_negativo"), text_prefix_key("assunto")], "rank")
+    return numbered(flagged, worst_first(), "rank")
+
+
+def worst_first() -> list[Column]:
+    """Order of a topic summary: highest share of negative reviews first."""
+    return [F.desc("pct_negativo"), F.asc("assunto")]
 
 
 def worst_topic_by_count(gold: DataFrame) -> DataFrame:
@@ -97,16 +107,25 @@ def preview(
     return first_rows(gold.select(*columns), n, review_order(), spread=["review_id"])
 
 
+def critical_negatives(gold: DataFrame, topics: int = config.TOP_TOPICS) -> DataFrame:
+    """All negative reviews of the most critical topics, each with its topic's number of them."""
+    critical = critical_topics(gold, topics).select("assunto", "qtd_negativos")
+    negatives = gold.filter(is_sentiment(config.NEGATIVE)).select(
+        "assunto", "review_id", "texto_completo"
+    )
+    # `critical` has at most `topics` rows, whatever the size of the data.
+    return negatives.join(F.broadcast(critical), "assunto")
+
+
+def review_samples(negatives: DataFrame, k: int = config.REVIEWS_PER_SUMMARY) -> DataFrame:
+    """The first k reviews of each topic: what fits into a model's prompt."""
+    return first_rows_per_group(negatives, k, ["assunto"], review_order(), "pos")
+
+
 def topic_review_samples(
     gold: DataFrame,
     topics: int = config.TOP_TOPICS,
     k: int = config.REVIEWS_PER_SUMMARY,
 ) -> DataFrame:
     """Up to k negative reviews for each of the most critical topics, in one query."""
-    critical = critical_topics(gold, topics).select("assunto", "qtd_negativos")
-    negatives = gold.filter(is_sentiment(config.NEGATIVE)).select(
-        "assunto", "review_id", "texto_completo"
-    )
-    # `critical` has at most `topics` rows, whatever the size of the data.
-    hits = negatives.join(F.broadcast(critical), "assunto")
-    return first_rows_per_group(hits, k, ["assunto"], review_order(), "pos")
+    return review_samples(critical_negatives(gold, topics), k)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.labels import band
+from vocspark.functions.ordering import numbered
 from vocspark.functions.text import strip_whitespace
 from vocspark.operators.aggregate import report_kpis
+from vocspark.operators.rank import ranked, worst_first
 
 
 def report_header(gold: DataFrame, day: date) -> DataFrame:
@@ -23,15 +25,19 @@ def report_header(gold: DataFrame, day: date) -> DataFrame:
 
 
 def criticality_bands(summary: DataFrame) -> DataFrame:
-    """Topic summary with its band, worst topic first."""
-    banded = summary.withColumn("band", band(F.col("pct_negativo")))
-    return banded.orderBy(F.desc("pct_negativo"), F.asc("assunto"))
+    """Topic summary with its band and rank, worst topic first."""
+    return numbered(summary.withColumn("band", band(F.col("pct_negativo"))), worst_first(), "rank")
+
+
+def ordered_summaries(summaries: DataFrame) -> DataFrame:
+    """The summaries, one per critical topic, with their rank: most negatives first."""
+    return ranked(summaries, [F.desc("qtd_negativos"), F.asc("assunto")])
 
 
 def summary_cards(summaries: DataFrame) -> DataFrame:
-    """Heading, number of negative reviews and text, most negatives first."""
-    ordered = summaries.orderBy(F.desc("qtd_negativos"), F.asc("assunto"))
-    return ordered.select(F.upper("assunto").alias("heading"), "qtd_negativos", "resumo")
+    """Rank, heading, number of negative reviews and text."""
+    return ordered_summaries(summaries).select(
+        "rank", F.upper("assunto").alias("heading"), "qtd_negativos", "resumo")
 
 
 def summary_lines(summaries: DataFrame) -> DataFrame:

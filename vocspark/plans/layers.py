@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from vocspark import config
 from vocspark.config import Layout
@@ -17,16 +18,11 @@ from vocspark.operators import aggregate, quality, rank
 from vocspark.operators.clean import bounded_sample, clean_reviews
 from vocspark.operators.curate import classified_reviews
 from vocspark.operators.parse import enrich
-from vocspark.sources import reviews_csv
-from vocspark.sources.tables import (
-    create_schemas,
-    drop_tables,
-    fill_missing,
-    spread,
-    write_table,
-)
+from vocspark.sources import answers, reviews_csv
+from vocspark.sources.tables import create_schemas, drop_tables, spread, write_table
 
 Job = Callable[[DataFrame], DataFrame]
+MALFORMED = "_malformed_record"
 
 
 @dataclass(frozen=True)
@@ -34,12 +30,15 @@ class Models:
     """The three model jobs, each a function from a frame to a frame.
 
     `embed` adds `embedding`, `classify` adds `classificacao_json`, `summarise` turns
-    the samples of the critical topics into `assunto, qtd_negativos, resumo`.
+    the negative reviews of the critical topics into `assunto, qtd_negativos, resumo`. The versions name
+    model and prompt: a resumed run asks all texts again when a version has changed.
     """
 
     embed: Job
     classify: Job
     summarise: Job
+    embed_version: str = ""
+    classify_version: str = ""
 
 
 def bronze(
@@ -48,12 +47,23 @@ def bronze(
     layout: Layout = Layout(),
     source_file: str | None = None,
     split_files: bool = False,
+    allow_malformed: bool = False,
 ) -> DataFrame:
-    """Load the file as it is, with safe names and audit columns; row counts must agree."""
-    source = reviews_csv.sanitize_names(reviews_csv.read_reviews(spark, path, split_files))
-    audited = reviews_csv.add_audit(source, source_file or path.rstrip("/").rsplit("/", 1)[-1])
+    """Load the files as they are, with safe names, load time and each row's file name.
+
+    The write itself observes how many rows it gets and how many of them had more or fewer fields than the
+    header; those fail the load unless `allow_malformed`. The number of rows must also be
+    the number of records that the files' text holds, which is counted without the CSV reader.
+    """
+    read = reviews_csv.read_reviews(spark, path, split_files, reviews_csv.SOURCE_FILE, MALFORMED)
+    seen = Observation("bronze")
+    observed = read.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count(F.col(MALFORMED)).alias("malformed")).drop(MALFORMED)
+    audited = reviews_csv.add_audit(reviews_csv.sanitize_names(observed), source_file)
     table = write_table(audited, layout.table("bronze", "reviews"), layout)
-    quality.require_equal_counts(source, table)
+    if seen.get["malformed"] and not allow_malformed:
+        raise quality.CountMismatch(f"{seen.get['malformed']} records do not have the header's number of fields")
+    quality.require_equal_counts(reviews_csv.record_count(spark, path), table, seen.get["rows"])
     return table
 
 
@@ -71,28 +81,38 @@ def silver_clean(
 
 
 def silver_embeddings(
-    spark: SparkSession, embed: Job, layout: Layout = Layout(), resume: bool = False
+    spark: SparkSession, embed: Job, layout: Layout = Layout(), resume: bool = False, version: str = ""
 ) -> DataFrame:
-    return _model_stage(spark, embed, "reviews_limpo", "reviews_embeddings", layout, resume)
+    return _model_stage(
+        spark, embed, "embedding", "reviews_limpo", "reviews_embeddings", layout, resume, version)
 
 
 def silver_responses(
-    spark: SparkSession, classify: Job, layout: Layout = Layout(), resume: bool = False
+    spark: SparkSession, classify: Job, layout: Layout = Layout(), resume: bool = False, version: str = ""
 ) -> DataFrame:
     return _model_stage(
-        spark, classify, "reviews_embeddings", "reviews_classified_raw", layout, resume
-    )
+        spark, classify, "classificacao_json", "reviews_embeddings", "reviews_classified_raw", layout, resume,
+        version)
 
 
 def _model_stage(
-    spark: SparkSession, job: Job, source: str, target: str, layout: Layout, resume: bool
+    spark: SparkSession, job: Job, out: str, source: str, target: str, layout: Layout, resume: bool, version: str
 ) -> DataFrame:
-    """Run a model job from one silver table into another; `resume` keeps what is stored."""
+    """Run a model job from one silver table into another.
+
+    With `resume`, answers go through a journal table: only texts without an answer there are asked,
+    slice by slice, and the job sees the text column alone. The journal starts with the answers
+    of the target table, where a run without it has left one.
+    """
     scan, name = spark.table(layout.table("silver", source)), layout.table("silver", target)
-    rows = spread(scan, scan)  # a sample or a single file would keep one core busy
+    journal = f"{name}_answers"
     if resume:
-        return fill_missing(rows, job, name, layout, bucket_by="review_id")
-    return write_table(job(rows), name, layout, bucket_by="review_id")
+        if spark.catalog.tableExists(name) and not spark.catalog.tableExists(journal):
+            answers.start_journal(spark.table(name), out, journal, layout, version)
+        rows = answers.with_answers(scan, job, out, journal, layout, version)
+    else:
+        rows = job(spread(scan, scan))  # a sample or a single file would keep one core busy
+    return write_table(rows, name, layout, bucket_by="review_id")
 
 
 def silver_enriched(spark: SparkSession, layout: Layout = Layout()) -> DataFrame:
@@ -115,11 +135,14 @@ def gold_reviews(
 
 
 def gold_aggregates(spark: SparkSession, layout: Layout = Layout()) -> dict[str, DataFrame]:
+    """All aggregates from one scan of the classified reviews, by way of a small table of cells."""
     gold = spark.table(layout.table("gold", "reviews_classified"))
+    cells = write_table(aggregate.sentiment_cells(gold), layout.table("gold", "celulas"), layout)
     frames = {
-        "sentimento_por_assunto": aggregate.topic_sentiment_counts(gold),
-        "assunto_resumo": aggregate.topic_summary(gold),
-        "sentimento_por_departamento": aggregate.department_sentiment(gold),
+        "sentimento_por_assunto": aggregate.topic_sentiment_from_cells(cells),
+        "assunto_resumo": aggregate.topic_summary_from_cells(cells),
+        "sentimento_por_departamento": aggregate.department_sentiment_from_cells(cells),
+        "indicadores": aggregate.report_kpis_from_cells(cells),
     }
     return {
         name: write_table(df, layout.table("gold", name), layout) for name, df in frames.items()
@@ -131,10 +154,9 @@ def gold_summaries(
     summarise: Job,
     layout: Layout = Layout(),
     topics: int = config.TOP_TOPICS,
-    k: int = config.REVIEWS_PER_SUMMARY,
 ) -> DataFrame:
     gold = spark.table(layout.table("gold", "reviews_classified"))
-    summaries = summarise(rank.topic_review_samples(gold, topics, k))
+    summaries = summarise(rank.critical_negatives(gold, topics))
     return write_table(summaries, layout.table("gold", "resumo_executivo"), layout)
 
 
@@ -157,8 +179,8 @@ def run(
     create_schemas(spark, layout)
     bronze(spark, path, layout, split_files=split_files)
     silver_clean(spark, layout, sample, partitions)
-    silver_embeddings(spark, models.embed, layout, resume)
-    silver_responses(spark, models.classify, layout, resume)
+    silver_embeddings(spark, models.embed, layout, resume, models.embed_version)
+    silver_responses(spark, models.classify, layout, resume, models.classify_version)
     silver_enriched(spark, layout)
     gold_reviews(spark, layout)
     gold_aggregates(spark, layout)

@@ -18,6 +18,26 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(cell(x) for x in row) + ")" for row in rows)
 
 
+def _power(name: str, matrix: str) -> str:
+    """A symmetric matrix squared over and over, kept at trace 1."""
+    squared = "list_transform(m, lambda a: list_transform(m, lambda b: list_inner_product(a, b)))"
+    return f"""{name} AS (
+        SELECT 0 AS step, m FROM {matrix}
+        UNION ALL
+        SELECT step + 1, list_transform(s, lambda line: list_transform(line, lambda x: x / trace))
+        FROM (SELECT step, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS trace
+              FROM (SELECT step, {squared} AS s FROM {name} WHERE step < 24)))"""
+
+
+def _axis(name: str, power: str) -> str:
+    """The direction that is left: a column of v v', scaled by the largest entry of its diagonal."""
+    return f"""{name} AS (
+        SELECT list_transform(m[k], lambda x: x / sqrt(m[k][k])) AS v
+        FROM (SELECT m, list_position(diagonal, list_max(diagonal)) AS k
+              FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diagonal
+                    FROM {power} WHERE step = 24)))"""
+
+
 _CTES = {
     "topic_list": f"""topic_list(place, topic) AS (
         VALUES {_values(enumerate(config.TOPICS))})""",
@@ -104,25 +124,25 @@ _CTES = {
         FROM (SELECT assunto, count(*) AS qtd_negativos
               FROM gold WHERE sentimento = 'negativo' GROUP BY assunto)
         ORDER BY rank LIMIT {config.TOP_TOPICS})""",
+    "negatives": """negatives AS (
+        SELECT g.assunto, qtd_negativos, review_id, texto_completo,
+               row_number() OVER (PARTITION BY g.assunto ORDER BY review_id::BIGINT)::INT AS pos
+        FROM gold g JOIN critical c ON c.assunto = g.assunto
+        WHERE sentimento = 'negativo')""",
     "samples": f"""samples AS (
-        SELECT * FROM (
-            SELECT g.assunto, qtd_negativos, review_id, texto_completo,
-                   row_number() OVER (PARTITION BY g.assunto ORDER BY review_id::BIGINT)::INT AS pos
-            FROM gold g JOIN critical c ON c.assunto = g.assunto
-            WHERE sentimento = 'negativo')
-        WHERE pos <= {config.REVIEWS_PER_SUMMARY})""",
+        SELECT * FROM negatives WHERE pos <= {config.REVIEWS_PER_SUMMARY})""",
     "prompts": f"""prompts AS (
         SELECT assunto, any_value(qtd_negativos) AS qtd_negativos,
                replace(replace({_text(config.SUMMARY_PROMPT)}, '<assunto>', assunto),
                        '<avaliacoes>',
                        string_agg(texto_completo, chr(10) || '- ' ORDER BY pos)) AS prompt
         FROM samples GROUP BY assunto)""",
-    "sample_words": r"""sample_words AS (
+    "negative_words": r"""negative_words AS (
         SELECT assunto, token, count(*) AS n FROM (
             SELECT DISTINCT assunto, review_id, token FROM (
                 SELECT assunto, review_id,
                        unnest(regexp_split_to_array(lower(texto_completo), '[^\p{L}]+')) AS token
-                FROM samples)
+                FROM negatives)
             WHERE length(token) >= 4)
         GROUP BY ALL)""",
     "summaries": """summaries AS (
@@ -131,7 +151,7 @@ _CTES = {
         FROM critical c LEFT JOIN (
             SELECT assunto, string_agg('- ' || token, chr(10) ORDER BY place) AS lines
             FROM (SELECT *, row_number() OVER (PARTITION BY assunto ORDER BY n DESC, token) AS place
-                  FROM sample_words)
+                  FROM negative_words)
             WHERE place <= 3 GROUP BY assunto) b ON b.assunto = c.assunto)""",
     "kpis": """kpis AS (
         SELECT count(*) AS total_reviews,
@@ -166,6 +186,31 @@ _CTES = {
                    FROM scores GROUP BY review_id) USING (review_id)
         LEFT JOIN balance USING (review_id))""",
 }
+_CTES |= {
+    "vectors": """vectors AS (
+        SELECT review_id, assunto, embedding::DOUBLE[] AS v
+        FROM embeddings JOIN gold ON review_id = vec_id::VARCHAR)""",
+    "places": """places AS (
+        SELECT review_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM vectors)""",
+    "products": """products AS (
+        SELECT a.i, b.i AS j, count(*) AS n, sum(a.x) AS total, sum(b.x) AS other, sum(a.x * b.x) AS product
+        FROM places a JOIN places b USING (review_id) GROUP BY a.i, b.i)""",
+    # the covariance matrix, and its first two axes by squaring a matrix until one direction is left
+    "covariance": """covariance AS (
+        SELECT list(line ORDER BY i) AS m FROM (
+            SELECT i, list((product - total * other / n) / (n - 1) ORDER BY j) AS line
+            FROM products GROUP BY i))""",
+    "power_1": _power("power_1", "covariance"),
+    "axis_1": _axis("axis_1", "power_1"),
+    "deflated": """deflated AS (
+        SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j:
+                   m[i][j] - variance * v[i] * v[j])) AS m
+        FROM (SELECT m, v, list_inner_product(v, list_transform(m, lambda line: list_inner_product(line, v)))
+                  AS variance
+              FROM covariance, axis_1))""",
+    "power_2": _power("power_2", "deflated"),
+    "axis_2": _axis("axis_2", "power_2"),
+}
 _ORDER = list(_CTES)
 _NEEDS = {
     "placed": ["topic_list"],
@@ -184,11 +229,21 @@ _NEEDS = {
     "summary": ["gold"],
     "shares": ["counts"],
     "critical": ["gold"],
-    "samples": ["critical"],
+    "negatives": ["critical"],
+    "samples": ["negatives"],
     "prompts": ["samples"],
-    "sample_words": ["samples"],
-    "summaries": ["sample_words"],
+    "negative_words": ["negatives"],
+    "summaries": ["negative_words"],
     "kpis": ["gold"],
+    "vectors": ["gold"],
+    "places": ["vectors"],
+    "products": ["places"],
+    "covariance": ["products"],
+    "power_1": ["covariance"],
+    "axis_1": ["power_1"],
+    "deflated": ["axis_1"],
+    "power_2": ["deflated"],
+    "axis_2": ["power_2"],
     "words": ["cleaned"],
     "scores": ["words", "topic_list"],
     "balance": ["words"],
@@ -198,13 +253,17 @@ _NEEDS = {
 
 def _with(view: str, select: str) -> str:
     """The query preceded by the views it needs, innermost first."""
-    needed, open_views = set(), [view]
+    return _with_all([view], select)
+
+
+def _with_all(views: list[str], select: str) -> str:
+    needed, open_views = set(), [*views]
     while open_views:
         name = open_views.pop()
         if name not in needed:
             needed.add(name)
             open_views.extend(_NEEDS.get(name, []))
-    return "WITH " + ",\n".join(_CTES[n] for n in _ORDER if n in needed) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(_CTES[n] for n in _ORDER if n in needed) + "\n" + select
 
 
 def _prompt(template: str) -> str:
@@ -222,11 +281,7 @@ def _drilldown(worst: str, view: str) -> str:
 
 
 def _matrix(key: str, view: str) -> str:
-    cells = ", ".join(
-        f"coalesce(sum(qtd) FILTER (sentimento = '{s}'), 0)::BIGINT AS {s}"
-        for s in config.SENTIMENTS
-    )
-    return _with(view, f"SELECT {key}, {cells} FROM {view} GROUP BY {key}")
+    return _with(view, _cells(key, view))
 
 
 def _pick(names: tuple[str, ...], values: str) -> str:
@@ -243,6 +298,24 @@ _PROMPT_LENGTH = (
 )
 
 
+_MOST_NEGATIVES = "row_number() OVER (ORDER BY qtd_negativos DESC, assunto)::INT AS rank"
+
+
+def _in_order(view: str, select: str, *keys: str) -> str:
+    """`select`'s rows numbered by the keys."""
+    return _with(view, f"""
+        SELECT row_number() OVER (ORDER BY {", ".join(f"{k} NULLS FIRST" for k in keys)})::INT AS rank, *
+        FROM ({select})""")
+
+
+def _cells(key: str, view: str) -> str:
+    cells = ", ".join(
+        f"coalesce(sum(qtd) FILTER (sentimento = '{s}'), 0)::BIGINT AS {s}"
+        for s in config.SENTIMENTS
+    )
+    return f"SELECT {key}, {cells} FROM {view} GROUP BY {key}"
+
+
 def oracle_sql() -> dict[str, str]:
     raw_names = ", ".join(fx.RAW_COLUMNS)
     return {
@@ -250,7 +323,8 @@ def oracle_sql() -> dict[str, str]:
         "csv_split_roundtrip": _with("reviews_raw", f"SELECT {raw_names} FROM reviews_raw"),
         "sanitized_columns": _with("reviews_raw", f"SELECT {_RAW_AS_HEADERS} FROM reviews_raw"),
         "audit_columns": _with("reviews_raw", """
-            SELECT review_id, 'reviews.csv' AS _source_file, TRUE AS has_ts FROM reviews_raw"""),
+            SELECT split_files, review_id, TRUE AS own_file, TRUE AS has_ts
+            FROM reviews_raw, (VALUES (FALSE), (TRUE)) readers(split_files)"""),
         "table_roundtrip": _with("gold", "SELECT * FROM gold"),
         "layered_run": _with("by_words", """
             SELECT w.assunto, count(*) AS total_reviews,
@@ -300,6 +374,15 @@ def oracle_sql() -> dict[str, str]:
                    {_pick(config.SENTIMENTS, f"{_PROMPT_LENGTH} % {len(config.SENTIMENTS)}")}
                        AS sentimento
             FROM cleaned"""),
+        "resumed_run": _with("gold", r"""
+            , earlier AS (
+                SELECT regexp_replace(texto_completo, '^\. ', '') AS t FROM gold
+                UNION SELECT coalesce(title, '') FROM reviews_raw
+                WHERE trim(coalesce(review_text, ''), ' ') = '')
+            SELECT review_id,
+                   CASE WHEN texto_completo IN (SELECT t FROM earlier) THEN '1:' ELSE '2:' END
+                   || length(texto_completo) AS answer
+            FROM cleaned""".lstrip()),
         "parsed_response": _with("parsed", """
             SELECT review_id, assunto, said AS sentimento FROM parsed"""),
         "normalised_sentiment": _with("labelled", "SELECT review_id, sentimento FROM labelled"),
@@ -328,20 +411,46 @@ def oracle_sql() -> dict[str, str]:
         "topic_sentiment_share": _with("shares", "SELECT * FROM shares"),
         "topic_sentiment_matrix": _matrix("assunto", "counts"),
         "department_sentiment_matrix": _matrix("department_name", "departments"),
+        "ordered_topic_counts": _in_order(
+            "gold", "SELECT assunto, count(*) AS qtd FROM gold GROUP BY assunto", "assunto"),
+        "ordered_topic_sentiment": _in_order("counts", "SELECT * FROM counts", "assunto", "sentimento"),
+        "ordered_department_sentiment": _in_order(
+            "departments", "SELECT * FROM departments", "department_name", "sentimento"),
+        "ordered_topic_share": _in_order("shares", "SELECT * FROM shares", "assunto", "sentimento"),
+        "ordered_topic_matrix": _in_order("counts", _cells("assunto", "counts"), "assunto"),
+        "gold_aggregates": _with_all(["counts", "summary", "departments", "kpis"], """
+            SELECT 'sentimento_por_assunto' AS tabela, assunto, NULL AS department_name, sentimento, qtd,
+                   NULL AS total_reviews, NULL AS rating_medio, NULL AS idade_media, NULL AS pct_negativo,
+                   NULL AS total_negativos, NULL AS pct_negativo_geral, NULL AS assuntos FROM counts
+            UNION ALL
+            SELECT 'assunto_resumo', assunto, NULL, NULL, NULL, total_reviews, rating_medio, idade_media,
+                   pct_negativo, NULL, NULL, NULL FROM summary
+            UNION ALL
+            SELECT 'sentimento_por_departamento', NULL, department_name, sentimento, qtd, NULL, NULL, NULL,
+                   NULL, NULL, NULL, NULL FROM departments
+            UNION ALL
+            SELECT 'indicadores', NULL, NULL, NULL, NULL, total_reviews, NULL, NULL, NULL, total_negativos,
+                   pct_negativo_geral, assuntos FROM kpis"""),
         "topic_catalog": _with("gold", """
             SELECT assunto, (row_number() OVER (ORDER BY assunto) - 1)::INT AS ordinal
             FROM (SELECT DISTINCT assunto FROM gold)"""),
         "critical_topics": _with("critical", "SELECT * FROM critical"),
         "topic_review_samples": _with("samples", "SELECT assunto, pos, review_id FROM samples"),
         "summary_prompts": _with("prompts", "SELECT assunto, prompt FROM prompts"),
-        "executive_summary": _with("summaries", "SELECT * FROM summaries"),
+        "executive_summary": _with("summaries", f"SELECT {_MOST_NEGATIVES}, * FROM summaries"),
         "executive_summary_callable": _with("prompts", f"""
             SELECT assunto, qtd_negativos,
                    '- ' || length(prompt) || ' caracteres' || chr(10)
                    || 'Limite: {config.SUMMARY_MAX_TOKENS}' AS resumo
             FROM prompts"""),
-        "summary_cards": _with("summaries", """
-            SELECT upper(assunto) AS heading, qtd_negativos, resumo FROM summaries"""),
+        "summary_cards": _with("summaries", f"""
+            SELECT {_MOST_NEGATIVES}, upper(assunto) AS heading, qtd_negativos, resumo FROM summaries"""),
+        "summary_lines_callable": _with("prompts", f"""
+            SELECT assunto, pos::INT AS pos, is_bullet, line FROM (
+                SELECT assunto, length(prompt)::VARCHAR AS n FROM prompts), LATERAL (VALUES
+                (0, TRUE, n || ' caracteres'), (1, TRUE, 'Limite: {config.SUMMARY_MAX_TOKENS}'),
+                (2, TRUE, n || '** em negrito'), (3, FALSE, '1. primeiro'), (4, TRUE, n || ' -'),
+                (5, FALSE, 'fim * ' || n)) lines(pos, is_bullet, line)"""),
         "summary_lines": _with("summaries", r"""
             SELECT assunto, (place - 1)::INT AS pos, line LIKE '-%' AS is_bullet,
                    CASE WHEN line LIKE '-%' THEN regexp_replace(line, '^[-*•\s]+', '')
@@ -355,7 +464,8 @@ def oracle_sql() -> dict[str, str]:
                    pct_negativo > (SELECT median(pct_negativo) FROM summary) AS above_median
             FROM summary"""),
         "criticality_bands": _with("summary", """
-            SELECT *, CASE WHEN pct_negativo >= 50 THEN 'red' WHEN pct_negativo >= 25 THEN 'amber'
+            SELECT row_number() OVER (ORDER BY pct_negativo DESC, assunto)::INT AS rank, *,
+                   CASE WHEN pct_negativo >= 50 THEN 'red' WHEN pct_negativo >= 25 THEN 'amber'
                            ELSE 'green' END AS band
             FROM summary"""),
         "worst_topic": _with("summary", """
@@ -369,8 +479,15 @@ def oracle_sql() -> dict[str, str]:
         "semantic_join": _with("gold", """
             SELECT review_id, assunto, sentimento, label
             FROM embeddings JOIN gold ON review_id = vec_id::VARCHAR"""),
+        "embedding_moments": _with("products", """
+            SELECT i::INT AS i, j::INT AS j, n, round(total, 6) AS total, round(product, 6) AS product
+            FROM products WHERE i <= j"""),
+        "semantic_map": _with("axis_2", """
+            SELECT review_id, assunto, round(list_inner_product(vectors.v, axis_1.v), 4) AS x,
+                   round(list_inner_product(vectors.v, axis_2.v), 4) AS y
+            FROM vectors, axis_1, axis_2"""),
         "reconcile_counts": """
-            SELECT count(*) AS source_rows, count(*) AS table_rows, TRUE AS passed
+            SELECT count(*) AS source_rows, count(*) AS written_rows, count(*) AS table_rows, TRUE AS passed
             FROM documents""",
         "text_completeness": _with("reviews_raw", """
             SELECT count(*) FILTER (review_text <> '') AS with_text,

@@ -5,17 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import date
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocspark import config
 from vocspark.functions.labels import json_field
+from vocspark.functions.text import has_text
 from vocspark.operators import aggregate, clean, infer, models, parse, quality, rank, report, semantic
 from vocspark.plans import fixtures as fx
 from vocspark.plans import layers
-from vocspark.sources import reviews_csv
+from vocspark.sources import answers, reviews_csv
 from vocspark.sources.scratch import shared_folder
 from vocspark.sources.tables import create_schemas, spread, write_table
 
@@ -45,10 +46,21 @@ def sanitized_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audited = reviews_csv.add_audit(fx.reviews_raw(spark, sf_dir), "reviews.csv")
-    return audited.select(
-        "review_id", "_source_file", F.col("_ingest_timestamp").isNotNull().alias("has_ts")
-    )
+    """Each row's own file, by both readers: a file's rows are as many as the records in its text."""
+    path = shared_folder(spark, "csv")
+    reviews_csv.write_csv(fx.csv_reviews(spark, sf_dir).repartition(4, "_c0"), path)
+    counted = reviews_csv.file_records(spark, path).select(
+        F.element_at(F.split("file", "/"), -1).alias("_source_file"), "records")
+    found = []
+    for split_files in (False, True):
+        read = reviews_csv.read_reviews(spark, path, split_files, reviews_csv.SOURCE_FILE)
+        audited = reviews_csv.add_audit(read).withColumn(
+            "rows", F.count(F.lit(1)).over(Window.partitionBy("_source_file")))
+        found.append(audited.join(counted, "_source_file", "left").select(
+            F.lit(split_files).alias("split_files"), F.col("_c0").alias("review_id"),
+            (F.col("rows") == F.col("records")).alias("own_file"),
+            F.col("_ingest_timestamp").isNotNull().alias("has_ts")))
+    return found[0].unionByName(found[1])
 
 
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +100,9 @@ def layered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "csv")
     reviews_csv.write_csv(fx.csv_reviews(spark, sf_dir), path)
-    source = reviews_csv.read_csv(spark, path)
-    loaded = reviews_csv.sanitize_names(source)
     table_path = shared_folder(spark, "bronze")
-    loaded.write.parquet(table_path)
-    return quality.reconcile_counts(source, spark.read.parquet(table_path))
+    reviews_csv.sanitize_names(reviews_csv.read_csv(spark, path)).write.parquet(table_path)
+    return quality.reconcile_counts(reviews_csv.record_count(spark, path), spark.read.parquet(table_path))
 
 
 # ---- cleaning --------------------------------------------------------------
@@ -171,6 +181,33 @@ def length_model() -> models.Model:
     return lambda prompts: [answer(p) for p in prompts]
 
 
+def tagging_model(run: int) -> models.ModelFactory:
+    """A model stand-in: the run that asked, and the length of the text."""
+    return lambda: lambda texts: [f"{run}:{len(t)}" for t in texts]
+
+
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a second run, which asks only what the first one has not asked.
+
+    The first run saw the classified reviews, where a title was missing under a shorter text, and the
+    blank reviews, which are gone by the second.
+    """
+    layout = _scratch_layout(spark)
+    blank = fx.reviews_raw(spark, sf_dir).filter(~has_text("review_text"))
+    earlier = fx.gold(spark, sf_dir).select(
+        "review_id", F.regexp_replace("texto_completo", r"^\. ", "").alias("texto_completo"))
+    earlier = earlier.unionByName(
+        blank.select("review_id", F.coalesce("title", F.lit("")).alias("texto_completo")))
+    name = layout.table("silver", "reviews_answered")
+    for run, reviews in enumerate((earlier, _texts(spark, sf_dir)), 1):
+        ask = partial(models.apply_model, make_model=tagging_model(run), text="texto_completo", out="answer",
+                      out_type="string")
+        stored = write_table(reviews, layout.table("silver", "reviews_limpo"), layout)
+        answered = answers.with_answers(stored, ask, "answer", f"{name}_answers", layout, slices=4)
+        write_table(answered.select("review_id", "answer"), name, layout)
+    return spark.table(name)
+
+
 def classify_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = models.classify_with_model(_spread_texts(spark, sf_dir), length_model)
     return parse.enrich(answered).select("review_id", "assunto", "sentimento")
@@ -235,6 +272,44 @@ def department_sentiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.sentiment_matrix(counts, "department_name")
 
 
+def ordered_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.in_order(aggregate.topic_counts(fx.gold(spark, sf_dir)), "assunto")
+
+
+def ordered_topic_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = aggregate.topic_sentiment_counts(fx.gold(spark, sf_dir))
+    return rank.in_order(counts, "assunto", "sentimento")
+
+
+def ordered_department_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = aggregate.department_sentiment(fx.gold(spark, sf_dir))
+    return rank.in_order(counts, "department_name", "sentimento")
+
+
+def ordered_topic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.in_order(topic_sentiment_share(spark, sf_dir), "assunto", "sentimento")
+
+
+def ordered_topic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.in_order(topic_sentiment_matrix(spark, sf_dir), "assunto")
+
+
+def gold_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored aggregates of the job, one below the other, from one scan of the stored reviews."""
+    layout = _scratch_layout(spark)
+    write_table(fx.gold(spark, sf_dir), layout.table("gold", "reviews_classified"), layout)
+    stored = layers.gold_aggregates(spark, layout)
+    empty = {"assunto": "string", "department_name": "string", "sentimento": "string", "qtd": "bigint",
+             "total_reviews": "bigint", "rating_medio": "double", "idade_media": "double", "pct_negativo": "double",
+             "total_negativos": "bigint", "pct_negativo_geral": "double", "assuntos": "bigint"}
+    below = [
+        frame.select(F.lit(name).alias("tabela"), *(
+            F.col(c) if c in frame.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+        for name, frame in stored.items()
+    ]
+    return reduce(DataFrame.unionByName, below)
+
+
 def drilldown_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = fx.gold(spark, sf_dir)
     return rank.drilldown(gold, rank.worst_topic_by_count(gold))
@@ -257,8 +332,12 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.summary_prompts(samples).select("assunto", "prompt")
 
 
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.summarise_extractive(rank.critical_negatives(fx.gold(spark, sf_dir)))
+
+
 def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.summarise_extractive(rank.topic_review_samples(fx.gold(spark, sf_dir)))
+    return report.ordered_summaries(_summaries(spark, sf_dir))
 
 
 def counting_summariser(max_tokens: int) -> models.Model:
@@ -267,16 +346,26 @@ def counting_summariser(max_tokens: int) -> models.Model:
 
 
 def executive_summary_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = rank.topic_review_samples(fx.gold(spark, sf_dir))
-    return models.summarise_with_model(samples, counting_summariser)
+    return models.summarise_with_model(rank.critical_negatives(fx.gold(spark, sf_dir)), counting_summariser)
 
 
 def summary_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary_cards(executive_summary(spark, sf_dir))
+    return report.summary_cards(_summaries(spark, sf_dir))
 
 
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary_lines(executive_summary(spark, sf_dir))
+    return report.summary_lines(_summaries(spark, sf_dir))
+
+
+def marking_summariser(max_tokens: int) -> models.Model:
+    """A model stand-in that marks its lines in every way models do."""
+    lines = "* {n} caracteres\n\n  • Limite: {limit}\n**{n}** em negrito\n1. primeiro\n- - {n} -\nfim * {n}"
+    return lambda prompts: [lines.format(n=len(p), limit=max_tokens) for p in prompts]
+
+
+def summary_lines_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    negatives = rank.critical_negatives(fx.gold(spark, sf_dir))
+    return report.summary_lines(models.summarise_with_model(negatives, marking_summariser))
 
 
 def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,9 +379,18 @@ def semantic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("review_id", "assunto", "sentimento", "label")
 
 
+def embedding_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = semantic.semantic_join(fx.embeddings(spark, sf_dir), fx.gold(spark, sf_dir))
+    found = semantic.moments(joined)
+    cells = found.select("i", "n", "total", F.posexplode("products").alias("j", "product"))
+    return cells.filter("i <= j").select(
+        "i", "j", "n", F.round("total", 6).alias("total"), F.round("product", 6).alias("product"))
+
+
 def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = semantic.semantic_join(fx.embeddings(spark, sf_dir), fx.gold(spark, sf_dir))
-    return semantic.semantic_map(joined).select("review_id", "assunto", "x", "y")
+    return semantic.semantic_map(joined).select(
+        "review_id", "assunto", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def _over(view: Query, operator: Callable[..., DataFrame]) -> Query:
@@ -319,6 +417,7 @@ def queries() -> dict[str, Query]:
         "open_topic_prompts": open_topic_prompts,
         "classify_lexicon": classify_lexicon,
         "classify_callable": classify_callable,
+        "resumed_run": resumed_run,
         "parsed_response": parsed_response,
         "normalised_sentiment": normalised_sentiment,
         "event_props": event_props,
@@ -335,6 +434,12 @@ def queries() -> dict[str, Query]:
         "topic_sentiment_share": topic_sentiment_share,
         "topic_sentiment_matrix": topic_sentiment_matrix,
         "department_sentiment_matrix": department_sentiment_matrix,
+        "ordered_topic_counts": ordered_topic_counts,
+        "ordered_topic_sentiment": ordered_topic_sentiment,
+        "ordered_department_sentiment": ordered_department_sentiment,
+        "ordered_topic_share": ordered_topic_share,
+        "ordered_topic_matrix": ordered_topic_matrix,
+        "gold_aggregates": gold_aggregates,
         "topic_catalog": _over(fx.gold, rank.topic_catalog),
         "critical_topics": _over(fx.gold, rank.critical_topics),
         "topic_review_samples": topic_review_samples,
@@ -343,12 +448,14 @@ def queries() -> dict[str, Query]:
         "executive_summary_callable": executive_summary_callable,
         "summary_cards": summary_cards,
         "summary_lines": summary_lines,
+        "summary_lines_callable": summary_lines_callable,
         "pain_ranking": _over(fx.summary, rank.pain_ranking),
         "criticality_bands": _over(fx.summary, report.criticality_bands),
         "worst_topic": _over(fx.summary, report.worst_topic),
         "report_kpis": _over(fx.gold, aggregate.report_kpis),
         "report_header": report_header,
         "semantic_join": semantic_join,
+        "embedding_moments": embedding_moments,
         "semantic_map": semantic_map,
         "reconcile_counts": reconcile_counts,
         "text_completeness": _over(fx.reviews_raw, quality.text_completeness),

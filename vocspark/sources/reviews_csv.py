@@ -2,46 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vocspark import config
 
+SOURCE_FILE = "_source_file"
+
 # A quote inside a quoted value is written twice, and a value may span lines.
 CSV_OPTIONS = {"header": "true", "inferSchema": "false", "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    partitions: int | None = None,
+    source: str | None = None,
+    malformed: str | None = None,
+) -> DataFrame:
     """All columns as strings. `path` may be a file, a folder or a glob.
 
     A file with multi-line values cannot be split, so it is read by one task. Give
     `partitions` to spread its rows before costly work follows; leave it out when
-    the data comes in many files.
+    the data comes in many files. Files whose headers differ are refused; only where a header
+    leaves a name blank or gives one twice can Spark not compare them (`record_count` does).
+
+    `source` names a column for the file each row came from, `malformed` one for the text of a record
+    with more or fewer fields than the header (null for all others).
     """
-    df = spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path)
+    names = header(spark, path)
+    columns = [*names, malformed] if malformed else names
+    made_up = any(n == f"_c{i}" or n.endswith(str(i)) for i, n in enumerate(names))
+    options = {**CSV_OPTIONS, "multiLine": "true", "enforceSchema": "true" if made_up else "false"}
+    if malformed:
+        options["columnNameOfCorruptRecord"] = malformed
+    df = spark.read.options(**options).schema(_strings(columns)).csv(path)
+    if source:
+        df = df.withColumn(source, F.col("_metadata.file_name"))
     return df.repartition(partitions) if partitions else df
 
 
-def read_reviews(spark: SparkSession, path: str, split_files: bool = False) -> DataFrame:
+def header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first file."""
+    return spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path).columns
+
+
+def _strings(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+
+
+def read_reviews(
+    spark: SparkSession,
+    path: str,
+    split_files: bool = False,
+    source: str | None = None,
+    malformed: str | None = None,
+) -> DataFrame:
     """`read_csv`, or `read_large_csv` where the caller asks for split files."""
-    return (read_large_csv if split_files else read_csv)(spark, path)
+    reader = read_large_csv if split_files else read_csv
+    return reader(spark, path, source=source, malformed=malformed)
 
 
-def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
-    """What `read_csv` returns, from files too large for one task each.
+def _lines(spark: SparkSession, path: str, line_end: str | None) -> DataFrame:
+    """Lines of all files with what is needed to tell which of them start a record.
 
-    Lines are read in ordinary file splits. A line starts a record when the quotes
-    ahead of it in its file pair up: quotes are added up per split, the few split
-    totals are put in order, and each split's lines then know their record number. The
-    lines of a record are joined and parsed as CSV. Quotes must occur in quoted values
-    only, as RFC 4180 has it and as `write_csv` writes; a stray one would shift the
-    records, so it fails the job, as do quotes that do not pair up in a file and lines that
-    end in a carriage return alone.
+    `turned`: is the number of quotes between the start of the line's split and the line odd?
     """
-    names = spark.read.options(multiLine="true", **CSV_OPTIONS).csv(path).columns
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    reader = spark.read.option("lineSep", line_end) if line_end else spark.read
+    lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
         "value",
@@ -49,44 +83,93 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").isin("", "\r").alias("blank"),
         F.col("value").endswith("\r").alias("returned"),
     )
-    in_split = Window.partitionBy("file", "split").orderBy("line")
-    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    # `turned`: is the number of quotes between the start of the split and this line odd?
-    turned = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
-    lines = lines.withColumn("turned", turned)
+    earlier = _in_split().rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("turned", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+
+
+def _in_split() -> WindowSpec:
+    return Window.partitionBy("file", "split").orderBy("line")
 
-    def starts(inside_at_start: Column) -> Column:
-        return (F.col("turned") == inside_at_start) & ~F.col("blank")
 
+def _starts(inside_at_start: Column) -> Column:
+    """Whether a line starts a record, given whether its split starts inside a quoted value."""
+    return (F.col("turned") == inside_at_start) & ~F.col("blank")
+
+
+def _splits(lines: DataFrame, advice: str) -> DataFrame:
+    """One row per file split: does it start inside a quoted value, and how many records start before and in it?"""
     splits = lines.groupBy("file", "split").agg(
         (F.sum("odd") % 2).alias("odd"),
-        F.count_if(starts(F.lit(0))).alias("if_outside"),
-        F.count_if(starts(F.lit(1))).alias("if_inside"),
+        F.count_if(_starts(F.lit(0))).alias("if_outside"),
+        F.count_if(_starts(F.lit(1))).alias("if_inside"),
         F.min_by("returned", "line").alias("crlf"),
+        F.min_by(F.when(~F.col("blank"), F.col("value")), F.when(~F.col("blank"), F.col("line"))).alias("top"),
     )
     ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     unpaired = F.sum("odd").over(Window.partitionBy("file")) % 2 == 1
     inside = F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2
     # raised here, before the lines of an endless record would be gathered
     refused = F.raise_error(F.lit(
-        "quote outside a quoted value: a file's quotes do not pair up; use read_csv for it")).cast("long")
+        f"quote outside a quoted value: a file's quotes do not pair up; {advice}")).cast("long")
     splits = splits.withColumn("inside", F.when(unpaired, refused).otherwise(inside))
     begun = F.when(F.col("inside") == 0, F.col("if_outside")).otherwise(F.col("if_inside"))
-    splits = splits.withColumn("begun", begun).select(
+    return splits.withColumn("begun", begun).select(
         "file",
         "split",
         "inside",
+        "begun",
         F.coalesce(F.sum("begun").over(ahead), F.lit(0)).alias("before"),
         # the first line of a file shows how all its lines end
         F.first("crlf").over(Window.partitionBy("file").orderBy("split")).alias("crlf"),
+        "top",
     )
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starting = starts(F.col("inside"))
+
+
+def file_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file, `file`, `header` (its first line) and `records` below it, found without parsing them.
+
+    Lines end at any of the usual line ends; one starts a record when the quotes ahead of it in its file pair
+    up. Whatever a reader makes of mixed line ends or odd quotes shows as another number.
+    """
+    splits = _splits(_lines(spark, path, None), "its records cannot be counted")
+    per_file = splits.groupBy("file").agg(
+        F.sum("begun").alias("records"),
+        F.min_by("top", F.when(F.col("top").isNotNull(), F.col("split"))).alias("header"))
+    return per_file.select("file", "header", F.greatest(F.col("records") - 1, F.lit(0)).alias("records"))
+
+
+def record_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row, `records`: those of all files. Files whose headers differ are refused."""
+    total = F.coalesce(F.sum("records"), F.lit(0))
+    refused = F.raise_error(F.lit("the files' headers differ")).cast("bigint")
+    return file_records(spark, path).agg(
+        F.when(F.min("header") != F.max("header"), refused).otherwise(total).alias("records"))
+
+
+def read_large_csv(
+    spark: SparkSession, path: str, source: str | None = None, malformed: str | None = None
+) -> DataFrame:
+    """What `read_csv` returns, from files too large for one task each.
+
+    Lines are read in ordinary file splits. A line starts a record when the quotes
+    ahead of it in its file pair up: quotes are added up per split, the few split
+    totals are put in order, and each split's lines then know their record number. The
+    lines of a record are joined and parsed as CSV. Quotes must occur in quoted values
+    only, as RFC 4180 has it and as `write_csv` writes; a stray one would shift the
+    records, so it fails the job, as do quotes that do not pair up in a file, lines that
+    end in a carriage return alone, lines that end otherwise than the first line of their file, and
+    headers that differ between files.
+    """
+    names = header(spark, path)
+    lines = _lines(spark, path, "\n")
+    splits = _splits(lines, "use read_csv for it")
+    so_far = _in_split().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starting = _starts(F.col("inside"))
     records = (
-        lines.join(splits, ["file", "split"])
+        lines.join(splits.drop("begun", "top"), ["file", "split"])
         .withColumn("record", F.col("before") + F.sum(starting.cast("int")).over(so_far))
         .filter(~F.col("blank") | (F.col("turned") != F.col("inside")))
-        .groupBy("file", "record", "crlf")
+        .groupBy("file", "file_name", "record", "crlf")
         .agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("lines"))
     )
     joined = F.array_join(F.transform("lines", lambda x: x.value), "\n")
@@ -97,17 +180,34 @@ def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
     refuse = F.raise_error(F.lit(
         "quote outside a quoted value, or lines ending in a carriage return; use read_csv for this file"))
     odd = bare.contains('"') | bare.rlike(r"\r(?!\n|$)")
-    # the first record of a file is its header: tested like the others, then left out
-    wanted = F.when(odd, refuse.cast("boolean")).otherwise(F.col("record") > 1)
-    schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+    mixed = F.raise_error(F.lit("lines of one file end in different ways"))
+    other = F.raise_error(F.lit("the files' headers differ"))
     options = {k: v for k, v in CSV_OPTIONS.items() if k in ("quote", "escape")}
-    return (
-        records.select("record", "crlf", joined.alias("text"))
-        .select("record", F.when(F.col("crlf"), as_lf).otherwise(F.col("text")).alias("text"))
+    columns = [*names, malformed] if malformed else names
+    if malformed:
+        options["columnNameOfCorruptRecord"] = malformed
+    row = F.from_csv("text", _strings(columns), {**options, "multiLine": "true"})
+    # a blank header is named by its place, and a name that occurs twice gets its place added
+    alike = reduce(and_, (
+        F.coalesce((F.col("row")[n] == n) | (F.concat(F.col("row")[n], F.lit(i)) == n), F.lit(n == f"_c{i}"))
+        for i, n in enumerate(names)))
+    # the first record of a file is its header: tested like the others, then left out
+    wanted = (
+        F.when(odd, refuse.cast("boolean"))
+        .when(F.col("ends_crlf") != F.col("crlf"), mixed.cast("boolean"))
+        .when(F.col("record") > 1, F.lit(True))
+        .when(~alike, other.cast("boolean"))
+        .otherwise(False)
+    )
+    parsed = (
+        records.select("record", "crlf", "file_name", joined.alias("text"))
+        .withColumn("ends_crlf", F.col("text").endswith("\r"))
+        .withColumn("text", F.when(F.col("crlf"), as_lf).otherwise(F.col("text")))
+        .withColumn("row", row)
         .filter(wanted)
-        .select(F.from_csv("text", schema, {**options, "multiLine": "true"}).alias("row"))
-        .select("row.*")
     )
+    added = [F.col("file_name").alias(source)] if source else []
+    return parsed.select("row.*", *added)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -129,6 +229,15 @@ def sanitize_names(df: DataFrame, forbidden: str = config.FORBIDDEN_NAME_CHARS)
 
 
 def add_audit(df: DataFrame, source_file: str | None = None) -> DataFrame:
-    """Add load time and source file (by default the name of the file each row came from)."""
-    source = F.lit(source_file) if source_file is not None else F.col("_metadata.file_name")
-    return df.withColumns({"_ingest_timestamp": F.current_timestamp(), "_source_file": source})
+    """Add load time and source file (by default the name of the file each row came from).
+
+    Rows that are no plain scan of files carry their file's name in `_source_file` already, where the
+    reader was asked for it.
+    """
+    if source_file is not None:
+        source = F.lit(source_file)
+    else:
+        source = F.col(SOURCE_FILE if SOURCE_FILE in df.columns else "_metadata.file_name")
+    rows = df.drop(SOURCE_FILE) if SOURCE_FILE in df.columns and source_file is not None else df
+    audited = rows.withColumns({"_ingest_timestamp": F.current_timestamp(), SOURCE_FILE: source})
+    return audited.select(*(c for c in audited.columns if c != SOURCE_FILE), SOURCE_FILE)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vocspark.config import Layout
 
+FILE_FORMATS = ("parquet", "orc", "json", "csv")  # plain files: an overwrite deletes before it writes
+STAGED, BEFORE = "__staged", "__before"
+
 
 def create_schemas(spark: SparkSession, layout: Layout) -> None:
     """Create the layers' schemas, below `layout.location` where that is set."""
@@ -26,6 +29,11 @@ def write_table(
 ) -> DataFrame:
     """Save as a table, replacing rows and schema, and return a scan of it.
 
+    A replacement is written beside the old table and takes its name only when it is whole, so a
+    write that fails leaves the old table as it was, and a table may be replaced by rows read from
+    itself. Formats outside `FILE_FORMATS` replace their tables in one step of their own; partitioned tables
+    are written in place.
+
     With `layout.buckets` set, `bucket_by` stores the rows hashed and sorted on that
     column, so joins between tables bucketed alike need no shuffle. The rows are
     hashed the same way first, which gives one file per bucket.
@@ -38,30 +46,32 @@ def write_table(
         writer = writer.bucketBy(layout.buckets, bucket_by).sortBy(bucket_by)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
-def fill_missing(
-    source: DataFrame,
-    job: Callable[[DataFrame], DataFrame],
-    name: str,
-    layout: Layout = Layout(),
-    key: str = "review_id",
-    bucket_by: str | None = None,
-) -> DataFrame:
-    """Run `job` only for the keys the table does not hold yet, and append the result.
-
-    A run that was cut short is repeated without asking a model again for the rows
-    already stored.
-    """
-    spark = source.sparkSession
-    if not spark.catalog.tableExists(name):
-        return write_table(job(source), name, layout, bucket_by=bucket_by)
-    missing = source.join(spark.table(name).select(key), key, "left_anti")
-    # Restore the column order of the table: append goes by position.
-    result = job(missing).select(*spark.table(name).columns)
-    return write_table(result, name, layout, mode="append", bucket_by=bucket_by)
+    spark = df.sparkSession
+    if mode != "overwrite" or partition_by or layout.fmt not in FILE_FORMATS:
+        writer.saveAsTable(name)
+        return spark.table(name)
+    staged, before = f"{name}{STAGED}", f"{name}{BEFORE}"
+    restore(spark, name)
+    drop_tables(spark, staged)
+    writer.saveAsTable(staged)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    spark.catalog.refreshTable(name)  # the session may remember the old table's files
+    drop_tables(spark, before)
+    return spark.table(name)
+
+
+def restore(spark: SparkSession, name: str) -> None:
+    """Finish or undo a replacement that was cut off between its two renames."""
+    before = f"{name}{BEFORE}"
+    if not spark.catalog.tableExists(before):
+        return
+    if spark.catalog.tableExists(name):
+        drop_tables(spark, before)
+    else:
+        spark.sql(f"ALTER TABLE {before} RENAME TO {name}")
+        spark.catalog.refreshTable(name)
 
 
 def drop_tables(spark: SparkSession, *names: str) -> None:
