@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,6 +91,35 @@ def test_words_round_trip(values):
     assert simple8b.unpack(words, escapes).tolist() == values
 
 
+def test_groups_decode_by_their_offsets():
+    """Each group of words lands where its offset says; a wrong offset is found."""
+    values = np.random.default_rng(5).integers(0, 50_000, 60_000).astype(np.uint64)
+    block = simple8b.write_block([20_000, 40_000], values)
+    lengths, ids = simple8b.read_block(block)
+    assert lengths.tolist() == [20_000, 40_000] and np.array_equal(ids, values)
+    words = len(simple8b.pack(values)[0])
+    assert words > 3 * simple8b.GROUP
+    head = 4 + 4 * 3 + 8 + 4 * 2
+    broken = bytearray(block)
+    broken[head + 4] ^= 1
+    with pytest.raises(ValueError):
+        simple8b.read_block(bytes(broken))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(0, 2**64 - 1)), max_size=400))
+def test_the_fullest_selector_is_taken(values):
+    def fits(i, count, bits):
+        return i + count <= len(values) and all(v < 1 << bits for v in values[i:i + count])
+
+    i, chosen = 0, []
+    while i < len(values):
+        chosen.append(next(k for k, (count, bits) in enumerate(simple8b.LAYOUTS) if k == 15 or fits(i, count, bits)))
+        i += simple8b.LAYOUTS[chosen[-1]][0]
+    words, _ = simple8b.pack(np.array(values, np.uint64))
+    assert (words >> np.uint64(60)).tolist() == chosen
+
+
 def test_zero_runs_and_damaged_blocks():
     assert len(simple8b.pack(np.zeros(480, np.uint64))[0]) == 2
     block = simple8b.write_block([3, 0, 2], np.array([1, 2, 3, 4, 5]))
@@ -145,7 +175,6 @@ def test_targets_and_taken(corpus):
 
 
 def test_curriculum_inverts_its_integral(spark):
-    from pyspark.sql import functions as F
     t = mixing.position(F.col("m"), F.lit(100.0))
     for r in spark.range(0, 101, 10).withColumn("m", F.col("id")).withColumn("t", t).collect():
         demand = (mixing.START * r.t + (mixing.END - mixing.START) * r.t ** 2 / 2)
@@ -169,6 +198,17 @@ def test_shares_of_sources_change_over_training(spark):
         mixing.mix(docs, schedules=((0, 0),))
 
 
+def test_rows_without_ids_fall_into_many_buckets(spark):
+    """Rows that share a doc_id, or have none, are told apart by their texts."""
+    rows = [(None, f"text {i}", "en", "a") for i in range(300)] + [(1, f"other {i}", "en", "a") for i in range(300)]
+    docs = frame(spark, rows)
+    hashes = docs.select(F.substring(mixing.place_hash(), 1, 2).alias("b")).distinct().count()
+    assert hashes > 150
+    out = mixing.mix(docs, keep=["doc_id"])
+    assert out.schema["row"].dataType.names == ["doc_id"] and out.count() == 600
+    assert sum(r.taken for r in out.collect()) == pytest.approx(1.5 * 1200, abs=4)
+
+
 def test_stream_is_in_order(small):
     assert mixing.training_stream(small).columns == small.columns
     assert got(mixing.training_stream(small), "doc_id") == got(mixing.training_stream(small), "doc_id")
@@ -240,50 +280,17 @@ def test_near(corpus):
         {x for x in least.values() if x is not None})
 
 
-def brute_similar(rows):
-    """Smallest doc_id of each row's component, by the Jaccard similarity of all pairs."""
-    sets = []
-    for _, t, *_ in rows:
-        w = lower(t).split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if (len(a & b) / len(a | b) if a or b else 1) >= 0.8:
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, *_) in enumerate(rows):
-        least[find(i)] = min((x for x in (d, least.get(find(i))) if x is not None), default=None)
-    return [(d, least[find(i)]) for i, (d, *_) in enumerate(rows)]
-
-
-def edited_rows():
-    rng = np.random.default_rng(1)
-    rows, start = [], [f"w{i}" for i in range(300)]
-    for edits in [0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 8, 10, 20]:  # copies of one text, above and below 0.8
-        words = list(start)
-        for at in rng.choice(300, edits, False):
-            words[at] = f"x{len(rows)}-{at}"
-        rows.append((100 + len(rows), " ".join(words), "en", "a"))
-    for step in range(12):  # a chain: neighbours are similar, its ends are not
-        words = [f"c{i + 15 * step}" for i in range(200)]
-        rows.append((200 + step, " ".join(words), "en", "a"))
-    return rows
-
-
-def test_near_stage_keeps_one_of_similar_texts(spark):
-    rows = [*ODD, *edited_rows()]
+def test_near_stage_keeps_one_of_linked_texts(spark, texts):
+    """The stage uses the SimHash operator with its 3-word shingles and two bits."""
+    edits = [(100 + i, " ".join(f"w{j}" if j != 7 * i else f"x{i}" for j in range(400)), "en", "a") for i in range(12)]
+    rows = [r for r in [*ODD, *edits, *texts[:60]] if r[0] is not None]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
     stay = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SMALL)
-    want = {least for _, least in brute_similar(rows)}
-    assert sorted({r.doc_id for r in stay.collect()} - {None}) == sorted(want - {None})
-    with pytest.raises(ValueError):
-        near_dedup.similar_dedup(stay, threshold=0.5)
+    groups = {}
+    for (d, *_), c in zip(rows, brute_components([brute_fingerprint(t) for _, t, *_ in rows])):
+        groups.setdefault(c, d)
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(groups.values())
+    assert len(groups) < len(rows)
 
 
 def test_one_row_stays_per_component(spark):
@@ -471,6 +478,98 @@ def test_segmentations_are_summed():
     assert uses[4] == pytest.approx(.3 * .2 / want) and uses[1] == pytest.approx(.2 * .1 / want)
 
 
+def segmentations(pieces, text):
+    """Every way to cut the text into pieces, an unlisted letter being piece -1."""
+    if not text:
+        yield []
+    for end in range(1, len(text) + 1):
+        piece = pieces.index(text[:end]) if text[:end] in pieces else -1
+        if piece >= 0 or end == 1:
+            for rest in segmentations(pieces, text[end:]):
+                yield [piece, *rest]
+
+
+PIECES = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "abab", "bb"]
+
+
+def test_sums_equal_the_enumeration_of_all_segmentations():
+    rng = np.random.default_rng(3)
+    probs = rng.random((len(PIECES), 3))
+    probs /= probs.sum(axis=0)
+    s = language_id.Segmenter(PIECES, probs)
+    words = ["".join(rng.choice(list("abc"), n)) for n in range(1, 9) for _ in range(8)]
+    batch = s.log_likelihoods(words)
+    for word, row in zip(words, batch):
+        ways = list(segmentations(PIECES, "▁" + word))
+        weights = np.array([np.prod([s.weights[p] for p in way], axis=0) for way in ways])
+        assert np.allclose(row, np.log(weights.sum(axis=0))) and np.allclose(row, s._scaled(s.edges(word)))
+        share = weights[:, 1] / weights[:, 1].sum()
+        want = Counter()
+        for way, part in zip(ways, share):
+            for p in way:
+                want[p] += part
+        for uses in (s.expected(word, 1), s._expected_scaled(s.edges(word), 1)):
+            assert uses.keys() == want.keys() - {-1}
+            assert all(uses[p] == pytest.approx(want[p]) for p in uses)
+
+
+def test_long_words_are_summed_like_short_ones():
+    probs = np.full((len(PIECES), 2), 1 / len(PIECES))
+    s = language_id.Segmenter(PIECES, probs)
+    long, short = "ab" * 400, "ab" * 15
+    assert np.isfinite(s.log_likelihood(long)).all()
+    assert s._scaled(s.edges(short)) == pytest.approx(s.log_likelihood(short))
+    uses, parts = s.expected(long, 0), s._expected_scaled(s.edges(short), 0)
+    assert uses.keys() == parts.keys() and all(np.isfinite(x) and x > 0 for x in uses.values())
+
+
+def test_training_is_plain_expectation_maximisation(spark, texts):
+    rows = [(d, t[:300], x, s) for d, t, x, s in texts if t and x][:24]
+    languages, pieces, probs = language_id.train(frame(spark, rows), sample_docs=10**6, rounds=2)
+    want = np.full((len(pieces), len(languages)), 1 / len(pieces))
+    for _ in range(2):
+        s, totals = language_id.Segmenter(pieces, want), np.full(want.shape, language_id.SMOOTHING)
+        for _, t, x, _ in rows:
+            for word in language_id.words(t):
+                for piece, n in s.expected(word, languages.index(x)).items():
+                    totals[piece, languages.index(x)] += n
+        want = totals / totals.sum(axis=0)
+    assert languages == sorted({x for _, _, x, _ in rows}) and np.allclose(probs, want)
+
+
+def unspaced(letters, n, seed):
+    """Texts of 60 to 120 letters without a space or a mark."""
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(letters), rng.integers(60, 120))) for _ in range(n)]
+
+
+def test_languages_written_without_spaces_are_learnt(spark):
+    kinds = {
+        "ja": unspaced("のにをはがとでたしれさるもなあいうえこそ日本人", 40, 1),
+        "zh": unspaced("的一是不了人在有我他这中大来上国日本", 40, 2),
+        "en": ["the cat sat on the mat and it was good"] * 40,
+        "de": unspaced(["der", "hund", "und", "katze", "nicht", "haus"], 40, 3),
+        "fr": unspaced(["chat", "est", "sur", "maison", "avec", "pour"], 40, 4),
+    }
+    rows = [(i, t, x, "s") for i, (t, x) in enumerate((t, x) for x, ts in kinds.items() for t in ts)]
+    docs = frame(spark, rows)
+    found = language_id.identify(docs, language_id.train(docs)).select("row.lang", "lang_pred").collect()
+    assert len(found) == 200 and all(r.lang == r.lang_pred for r in found)
+
+
+def test_language_stage_drops_what_it_rejects(spark):
+    english = ["the cat sat on the mat and it was a good cat", "and the dog was on the table with the cat"]
+    german = ["der Hund und die Katze sind nicht im Haus", "das Haus ist nicht der Garten und der Hund"]
+    rows = [(i, t, x, "s") for i, (t, x) in enumerate(
+        [(t, "en") for t in english * 20] + [(t, "de") for t in german * 20] + [("12 34", "en"), (None, "de")])]
+    docs = frame(spark, rows)
+    stay = corpus_pipeline.keep_known_language(spark, docs, SMALL, languages=["en"]).collect()
+    assert {r.doc_id for r in stay} == set(range(40))
+    everything = corpus_pipeline.keep_known_language(spark, docs, SMALL).collect()
+    assert {r.doc_id for r in everything} == set(range(80))
+    assert not corpus_pipeline.keep_known_language(spark, docs, SMALL, min_score=1.1).collect()
+
+
 def test_language_accuracy_and_odd_rows(spark, odd, texts):
     out = registry.op8_language_id(spark, SMALL).collect()
     lang = {d: x for d, _, x, _ in texts}
@@ -590,7 +689,7 @@ def test_language_stage_without_labels(spark):
 
 
 def test_pipeline(spark, texts):
-    """Stages two, three and five hold against brute force on what stage one keeps."""
+    """All five stages against brute force and, for the mixture, its SQL over what the near stage keeps."""
     packed = corpus_pipeline.run(spark, SMALL).collect()
     known = [(d, t) for d, t, *_ in texts if any(map(str.isalpha, t or ""))]
     keep = {}
@@ -601,7 +700,15 @@ def test_pipeline(spark, texts):
     first = {}
     for (d, _), c in zip(left, comps):
         first.setdefault(c, d)
-    stayed = {d for d, _ in left if d in set(first.values())}
-    mixed = Counter(r.doc_id for r in packed if r.piece == 0)
-    assert set(mixed) <= stayed and max(mixed.values()) <= 2
-    assert len(mixed) > 0.5 * len(stayed)
+    stayed = ", ".join(str(d) for d, _ in left if d in set(first.values()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet' WHERE doc_id IN ({stayed})")
+    want = Counter()
+    for r in con.sql(registry.OP1_SQL).fetchall():
+        if n := sum(x is not None for x in r[-2:]):
+            want[r[0]] = n
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == want and max(want.values()) == 2
+    rooms = Counter()
+    for r in packed:
+        rooms[r.sequence_id] += r.length
+    assert max(rooms.values()) <= 4096

@@ -9,6 +9,8 @@ taken, and the inverse of the demand at that middle is its training position.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 REPEATS = 2
 START, END = 1.5, 0.5
+BUCKET_ROWS = 1 << 14
 SCHEDULES = ((START, END), (END, START), (1.0, 1.0))  # by source rank, as the weights
 
 
@@ -73,25 +76,37 @@ def position(middle, target, start=START, end=END):
     return F.least(F.coalesce(F.try_divide(area, start + root), F.lit(0.0)), F.lit(1.0))
 
 
+def place_hash() -> Column:
+    """What documents of a source are ordered by: the doc_id, salted with the text for null and repeated ids."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+
+
 def mix(
-    docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, schedules=SCHEDULES
+    docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, schedules=SCHEDULES,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every document with its source's target, the words taken and its training positions.
 
-    Returns `row` (the input row as a struct), size, source_size, target, taken and
+    Returns `row` (the input row as a struct, or its columns `keep`: what is left out here crosses no
+    shuffle), size, source_size, target, taken and
     `positions` (one per copy taken, ascending; empty if the mix leaves the document out).
     A null source is a source of its own, after all others. Null or empty texts have size 0
     and are taken as often as their place says, with 0 words. Ties in the hashed order go
     by doc_id and size; repeated rows count once each. An empty table gives none.
 
-    Running sums go over 256 hash buckets per source first and inside one bucket then, so a
-    source holding a third of all rows is spread over 256 groups.
+    Running sums go over the hash buckets of a source first and inside one bucket then. There are enough
+    buckets for some `BUCKET_ROWS` rows in each, were all rows of one source, so a source that
+    holds a third of all rows is spread over many groups.
     """
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col("row.source").alias("source"), F.col("row.doc_id").alias("doc_id"),
-        word_count("row.text").alias("size"),
-        F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"),
-    ).withColumn("bucket", F.substring("hash", 1, 2))
+    digits = 2
+    while 16 ** digits * BUCKET_ROWS < docs.count():
+        digits += 1
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    sized = docs.select(
+        F.struct(*columns).alias("_row"), "source", "doc_id", word_count("text").alias("size"),
+        place_hash().alias("hash"),
+    ).withColumnRenamed("_row", "row").withColumn("bucket", F.substring("hash", 1, digits))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))

@@ -29,11 +29,14 @@ def hex64(column: str):
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir))
+    """All documents in training order, with the positions of their first and second copy."""
+    mixed = mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
     first = F.get("positions", F.lit(0))
     ordered = mixed.repartitionByRange(first.asc_nulls_last(), F.col("row.doc_id"))
     return ordered.sortWithinPartitions(first.asc_nulls_last(), F.col("row.doc_id")).select(
-        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
+        F.round(first, 9).alias("first_position"),
+        F.round(F.get("positions", F.lit(1)), 9).alias("second_position"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +118,12 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 sources AS (
   SELECT source, sum(size) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS turn,
          [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
   FROM sized GROUP BY source),
 levels AS (
@@ -138,10 +142,20 @@ placed AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (
     PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     + size / 2.0 AS middle
-  FROM sized)
+  FROM sized),
+scheduled AS (
+  SELECT doc_id, size, s.source_size, target, middle, [1.5, 0.5, 1.0][turn]::DOUBLE AS a, [0.5, 1.5, 1.0][turn]::DOUBLE AS b
+  FROM placed JOIN targets t ON placed.source IS NOT DISTINCT FROM t.source
+    JOIN sources s ON s.source IS NOT DISTINCT FROM t.source),
+curves AS (
+  SELECT *, middle / target * (a + b) AS area_1, (middle + source_size) / target * (a + b) AS area_2 FROM scheduled)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(size * ((middle < target)::INT + (middle + source_size < target)::INT) AS BIGINT) AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+       CAST(size * ((middle < target)::INT + (middle + source_size < target)::INT) AS BIGINT) AS taken,
+       CASE WHEN middle < target THEN
+         round(least(coalesce(area_1 / (a + sqrt(greatest(a * a + (b - a) * area_1, 0))), 0), 1), 9) END AS first_position,
+       CASE WHEN middle + source_size < target THEN
+         round(least(coalesce(area_2 / (a + sqrt(greatest(a * a + (b - a) * area_2, 0))), 0), 1), 9) END AS second_position
+FROM curves
 """
 
 # crc32 of a decimal id, a byte and then a bit at a time

@@ -36,17 +36,34 @@ ESCAPE = 15
 _COUNTS = np.array([n for n, _ in LAYOUTS], np.int64)
 
 
+def widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs."""
+    found = np.zeros(len(values), np.uint8)
+    rest = values
+    for half in (32, 16, 8, 4, 2, 1):
+        high = rest >> np.uint64(half)
+        above = high > 0
+        found[above] += half
+        rest = np.where(above, high, rest)
+    return found + (rest > 0)
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned 64-bit values: the fullest selector that fits, from the left."""
     values = values.astype(np.uint64)
     n = len(values)
-    best = np.full(n, ESCAPE, np.int64)
-    places = np.arange(n)
+    best = np.full(n, ESCAPE, np.uint8)
+    # the widest of the next `reach` values from each place; past the end nothing fits
+    widest, reach = widths(values), 1
     for selector in range(ESCAPE - 1, -1, -1):
         count, bits = LAYOUTS[selector]
-        wide = np.flatnonzero(values >> np.uint64(bits)) if bits else np.flatnonzero(values)
-        following = np.append(wide, n)[np.searchsorted(wide, places)]
-        best[following - places >= count] = selector
+        if count > n:
+            break
+        while reach < count:
+            ahead = min(reach, count - reach)
+            widest = np.maximum(widest[:-ahead], widest[ahead:])
+            reach += ahead
+        best[:len(widest)][widest <= bits] = selector
     step = _COUNTS[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -102,11 +119,20 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("not a Simple-8b block")
     at = struct.calcsize(_HEAD)
     lengths = np.frombuffer(block, "<u4", documents, at)
-    at += 4 * documents + 4 * -(-words // GROUP)
+    at += 4 * documents
+    starts = np.frombuffer(block, "<u4", -(-words // GROUP), at)
+    at += 4 * len(starts)
     body = np.frombuffer(block, "<u8", words, at)
-    values = unpack(body, np.frombuffer(block, "<u8", escapes, at + 8 * words))
-    if len(values) != ids or int(lengths.sum()) != ids:
+    raw = np.frombuffer(block, "<u8", escapes, at + 8 * words)
+    if int(lengths.sum()) != ids:
         raise ValueError("damaged Simple-8b block")
+    values = np.empty(ids, np.uint64)
+    # each group of words goes where its offset says, whatever the groups before it hold
+    for group, (start, stop) in enumerate(zip(starts.tolist(), [*starts.tolist()[1:], ids])):
+        found = unpack(body[group * GROUP:(group + 1) * GROUP], raw)
+        if len(found) != stop - start:
+            raise ValueError("damaged Simple-8b block")
+        values[start:stop] = found
     return lengths.astype(np.int64), values
 
 
