@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -339,6 +340,34 @@ def test_edited_texts(corpus):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def brute_votes(text):
+    """The 64 bits, one vote at a time."""
+    votes, weight = [0] * 64, 0
+    for word in re.split(r"[\x20\x09-\x0D]+", text.lower()):
+        w = max(min(len(word), 18) - 2, 1) if word else 0
+        h, weight = xxhash.xxh64_intdigest(word.encode(), 42), weight + w
+        for k in range(64):
+            votes[k] += w * (h >> k & 1)
+    return sum(1 << k for k in range(64) if votes[k] * 2 > weight)
+
+
+def test_every_bit_and_likeness(spark, texts):
+    rows = [(d, t[:400], "en", "a") for d, t, *_ in texts if t and t.isascii()][:40]
+    rows += [(900, "", "en", "a"), (901, None, "en", "a"), (900, "other text of the same id", "en", "a"),
+             (902, "word " * 500, "en", "a"), (None, "no id", "en", "a")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(
+        xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
+    want = []
+    for i, (d, t, *_) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        n = len(t) // 4
+        fp, edited, following = map(brute_votes, (t, t[:len(t) - n] + after[:n], after))
+        want.append((d, fp, edited, 1 - (fp ^ edited).bit_count() / 64, 1 - (fp ^ following).bit_count() / 64))
+    got = [(r.doc_id, r.fp % (1 << 64), r.edited_fp % (1 << 64), r.near_edited, r.near_next)
+           for r in fingerprints.edited_fingerprints(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_edits_stay_nearer_than_neighbours(small):
     rows = fingerprints.edited_fingerprints(small).collect()
     assert np.mean([r.near_edited for r in rows]) > np.mean([r.near_next for r in rows]) + 0.1

@@ -1,7 +1,7 @@
 """SimHash fingerprints from DataFrame functions only.
 
 Every word of a text is a term: its 64-bit hash votes on 64 bits, weighted by the word's
-length, so that short function words decide little. Votes of two bits share a long (32 bits
+length (up to `LONGEST` letters), so that short function words decide little. Votes of two bits share a long (32 bits
 each), which makes 32 sums per text; a weight is at most the word's length, so a sum stays below
 the text's length. A bit is set when over half the weight voted for it.
 """
@@ -103,6 +103,13 @@ def successors(rows: DataFrame) -> DataFrame:
         "doc_id", "h", "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
+def _keyed(rows: DataFrame, doc_id: str, h: str, prefix: str) -> DataFrame:
+    """Key columns without nulls, so that joins and groups by them share one partitioning."""
+    return rows.withColumns({
+        f"{prefix}id": F.coalesce(F.col(doc_id), F.lit(0)), f"{prefix}null": F.col(doc_id).isNull(),
+        f"{prefix}h": F.col(h)})
+
+
 def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
@@ -110,22 +117,26 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     all) from the start of the next text. Null counts as empty. Rows with one doc_id and equal
     text are one; different texts of one doc_id follow in order of their hash. A
     single document is its own next. An empty table gives an empty result.
+
+    Whole texts cross one shuffle, by document. From there each sends the head that the
+    document before it needs; texts, heads and votes are then joined and summed where they are.
     """
+    key = ["k_id", "k_null", "k_h"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "h", F.xxhash64("text"))
     order = stored(successors(rows.withColumn("n_chars", F.char_length("text").cast("long"))), "next")
     cut = F.floor(F.col("n_chars") / share).cast("int")
-    whole = rows.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "text").dropDuplicates(
-        ["d", "dh"])
-    donors = order.join(
-        whole, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_h") == F.col("dh"))).select(
-        "doc_id", "h", "n_chars", "next_id", "next_h",
-        F.substring("text", F.lit(1), cut).alias("head"))
-    both = donors.join(
-        whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))).withColumn(
+    whole = _keyed(rows, "doc_id", "h", "k_").select(*key, "text").dropDuplicates(key)
+    # a document may be the next of one other: its head goes there
+    wanted = _keyed(_keyed(order, "next_id", "next_h", "k_"), "doc_id", "h", "p_").select(
+        *key, "p_id", "p_null", "p_h", "n_chars", "doc_id", "next_id", "next_h")
+    heads = whole.join(wanted, key).select(
+        F.col("p_id").alias("k_id"), F.col("p_null").alias("k_null"), F.col("p_h").alias("k_h"),
+        "doc_id", "n_chars", "next_id", "next_h", F.substring("text", F.lit(1), cut).alias("head"))
+    both = whole.join(heads, key).withColumn(
         "edited", F.concat(
             F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.col("head")))
-    keys = ["doc_id", "h", "n_chars", "next_id", "next_h"]
+    keys = [*key, "doc_id", "n_chars", "next_id", "next_h"]
     each = both.select(*keys, F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(
         F.struct(F.lit(0).alias("which"), "text"),
         F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("version"))
@@ -135,10 +146,8 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
         [*keys, "which"])
     pick = lambda n: F.max(F.when(F.col("which") == n, F.col("fp")))
     made = stored(voted.groupBy(*keys).agg(pick(0).alias("fp"), pick(1).alias("edited_fp")), "votes")
-    nexts = made.select(
-        F.col("doc_id").alias("d"), F.col("h").alias("dh"), F.col("fp").alias("next_fp"))
-    return made.join(
-        nexts, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_h") == F.col("dh"))).select(
+    nexts = made.select(*key, F.col("fp").alias("next_fp"))
+    return _keyed(made.drop(*key), "next_id", "next_h", "k_").join(nexts, key).select(
         "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp",
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
