@@ -326,6 +326,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT split_files, review_id, TRUE AS own_file, TRUE AS has_ts
             FROM reviews_raw, (VALUES (FALSE), (TRUE)) readers(split_files)"""),
         "table_roundtrip": _with("gold", "SELECT * FROM gold"),
+        "tables_dropped": _with("enriched", """
+            SELECT table_name, (SELECT count(*) FROM enriched) AS rows, is_left
+            FROM (VALUES ('reviews_limpo', FALSE), ('reviews_classified_raw', FALSE), ('reviews_enriched', TRUE))
+                tables(table_name, is_left)"""),
         "layered_run": _with("by_words", """
             SELECT w.assunto, count(*) AS total_reviews,
                    round(avg(rating)::DECIMAL(18, 6), 2)::DOUBLE AS rating_medio,

@@ -83,6 +83,18 @@ def _scratch_layout(spark: SparkSession) -> config.Layout:
     return layout
 
 
+def tables_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silver tables before the intermediates are dropped, and which of them are left."""
+    layout = _scratch_layout(spark)
+    for name in ("reviews_limpo", "reviews_classified_raw", "reviews_enriched"):
+        write_table(fx.enriched(spark, sf_dir).select("review_id", "assunto"), layout.table("silver", name), layout)
+    before = {t.name: spark.table(layout.table("silver", t.name)).count() for t in spark.catalog.listTables(layout.silver)}
+    layers.drop_intermediates(spark, layout)
+    left = {t.name for t in spark.catalog.listTables(layout.silver)}
+    rows = [(name, rows, name in left) for name, rows in before.items()]
+    return spark.createDataFrame(rows, "table_name string, rows long, is_left boolean")
+
+
 def layered_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review file to topic summary through all stored layers, with the word-list classifier."""
     path = shared_folder(spark, "csv")
@@ -404,6 +416,7 @@ def queries() -> dict[str, Query]:
         "sanitized_columns": sanitized_columns,
         "audit_columns": audit_columns,
         "table_roundtrip": table_roundtrip,
+        "tables_dropped": tables_dropped,
         "layered_run": layered_run,
         "preview_rows": _over(fx.gold, rank.preview),
         "rename_cast": rename_cast,

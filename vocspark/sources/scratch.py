@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 _local: list[str] = []
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -26,4 +28,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="vocspark-"))
         base = _local[0]
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete the folders made so far in this process, but for `keep`.
+
+    Frames that read them end with them: call it when results are written, between jobs.
+    """
+    kept = set(keep)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in [p for p in _made if p not in kept]:
+        folder = hadoop(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
