@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+MARK_BITS = 17
 BANDS, ROWS = 16, 2
 MOST_TEMPLATES = 10_000
 _CHUNK = 1 << 14
@@ -141,7 +142,7 @@ def band_keys(hashes: np.ndarray, lengths: list[int], dense: bool) -> dict[int,
 
 
 def template_index(templates: dict[str, str]):
-    """(names, shingle sets, window lengths, sorted band keys, template of each key, short templates)."""
+    """(names, shingle sets, window lengths, sorted band keys, template of each key, short templates, key marks)."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"over {MOST_TEMPLATES} templates: the index is broadcast")
     names, sets, lengths, keys, owner, short = list(templates), [], [], [], [], {}
@@ -160,15 +161,18 @@ def template_index(templates: dict[str, str]):
         keys.append(found)
         owner.append(np.full(len(found), i))
     if not keys:
-        return names, sets, lengths, np.empty(0, np.uint64), np.empty(0, int), short
+        return names, sets, lengths, np.empty(0, np.uint64), np.empty(0, int), short, np.empty(0, bool)
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
-    return names, sets, lengths, keys[order], owner[order], short
+    # the leading bits of every key: most keys of a text are told apart from all templates' by these
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[keys >> np.uint64(64 - MARK_BITS)] = True
+    return names, sets, lengths, keys[order], owner[order], short, marks
 
 
 def candidates(hashes: np.ndarray, index) -> set[tuple[int, int]]:
     """(template, first shingle) of all windows that share a band key with a template."""
-    _, _, lengths, keys, owner, _ = index
+    _, _, lengths, keys, owner, _, marks = index
     found = set()
     distinct = sorted(set(lengths) - {0})
     if not distinct:
@@ -177,12 +181,11 @@ def candidates(hashes: np.ndarray, index) -> set[tuple[int, int]]:
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at:at + _CHUNK + overlap]
         for length, seen in band_keys(part, distinct, False).items():
-            first = np.searchsorted(keys, seen)
-            band, window = np.nonzero(keys[np.minimum(first, len(keys) - 1)] == seen)
-            for b, w in zip(band, window):
-                k = int(first[b, w])
-                while k < len(keys) and keys[k] == seen[b, w]:
-                    found.add((int(owner[k]), at + int(w) * stride(length)))
+            band, window = np.nonzero(marks[seen >> np.uint64(64 - MARK_BITS)])
+            values = seen[band, window]
+            for k, value, w in zip(np.searchsorted(keys, values).tolist(), values, window.tolist()):
+                while k < len(keys) and keys[k] == value:
+                    found.add((int(owner[k]), at + w * stride(length)))
                     k += 1
     return found
 
@@ -198,7 +201,7 @@ def _places(joined: str, notice: str) -> list[int]:
 
 def scan_text(text: str | None, index) -> list[tuple[str, float, list[int]]]:
     """(template, containment, first words of the passages) of every template in a text."""
-    names, sets, lengths, _, _, short = index
+    names, sets, lengths, _, _, short, _ = index
     found = words(text)
     joined = f" {' '.join(found)} "
     best: dict[int, tuple[float, list[int]]] = {
