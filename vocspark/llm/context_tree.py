@@ -224,30 +224,32 @@ def _ask(table: pa.Table) -> pa.Table:
     """Messages of a part. Owners of words are numbered below zero."""
     words: Counter[bytes] = Counter()
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
-    held: list[np.ndarray] = []
-    weight: list[np.ndarray] = []
+    held: list[np.ndarray] = []  # twice the string, and one more where it is learnt from
     size = 0
 
     def fold():
-        keys, place = np.unique(np.concatenate(held), return_inverse=True)
-        pieces.append((keys, np.bincount(place, np.concatenate(weight), len(keys))))
-        held.clear(), weight.clear()
+        tagged = np.sort(np.concatenate(held))
+        keys = tagged >> 1
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        pieces.append((keys[first], np.add.reduceat(tagged & 1, first)))
+        held.clear()
 
     for text, learn in zip(table.column("text"), table.column("train").to_pylist()):
         found = normal_words(text.as_py())
         words.update(found if learn else dict.fromkeys(found, 0))
         words[END_WORD.encode()] += int(learn)
-        held.append(grams(found))
-        weight.append(np.full(len(held[-1]), float(learn)))
+        held.append(2 * grams(found) + int(learn))
         size += len(held[-1])
         if size > _CHUNK:
             fold()
             size = 0
     if held:
         fold()
-    held, weight = [p[0] for p in pieces], [p[1] for p in pieces]
-    fold()
-    keys, counts = pieces[-1]
+    keys, counts = (np.concatenate(x) for x in zip(*pieces))
+    if len(pieces) > 1:
+        order = np.argsort(keys, kind="stable")  # runs that are sorted already
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        keys, counts = keys[order][first], np.add.reduceat(counts[order], first)
     part = table.column("part")[0].as_py()
     owner = string_owner(keys)
     order = np.argsort(owner, kind="stable")
@@ -276,16 +278,33 @@ def _score(texts: pa.Table, answers: pa.Table, total: int, distinct: int) -> pa.
     order = np.argsort(keys)
     keys, logs = keys[order], np.concatenate([m[1] for m in strings])[order].astype(np.float64)
     scale = total + 0.1 * (distinct + 1)
-    rows = []
+    rows, waiting, held, size = [], [], [], 0
+
+    def score_waiting():
+        """Strings of many texts are looked up in order, which reads the keys once through."""
+        flat = np.concatenate(held)
+        order = np.argsort(flat)
+        value = np.empty(len(flat))
+        value[order] = logs[np.searchsorted(keys, flat[order])]
+        lengths = np.array([len(h) for h in held])
+        sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
+        for row, score, length in zip(waiting, sums.tolist(), lengths.tolist()):
+            rows.append((*row, score, -score / math.log10(2) / length))
+        waiting.clear(), held.clear()
+
     for doc_id, text, train in zip(
             texts.column("doc_id").to_pylist(), texts.column("text"), texts.column("train").to_pylist()):
         found = normal_words(text.as_py())
-        mine = [count[w] for w in [*found, END_WORD.encode()]]
-        base = float(np.log10((np.array(mine) + 0.1) / scale).sum())
-        string = grams(found)
-        score = float(logs[np.searchsorted(keys, string)].sum())
-        rows.append((doc_id, not train, len(mine), sum(c > 0 for c in mine), total, base, score,
-                     -score / math.log10(2) / len(string)))
+        mine = np.array([count[w] for w in [*found, END_WORD.encode()]])
+        base = float(np.log10((mine + 0.1) / scale).sum())
+        waiting.append((doc_id, not train, len(mine), int((mine > 0).sum()), total, base))
+        held.append(grams(found))
+        size += len(held[-1])
+        if size > _CHUNK:
+            score_waiting()
+            size = 0
+    if held:
+        score_waiting()
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 3]
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.table(dict(zip(
