@@ -40,11 +40,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of `documents`; a null text is empty, repeated rows are counted each, null ids stay null."""
     counted = token_counts.token_counts(documents(spark, sf_dir))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; null texts are empty, rows of one doc_id and equal text are one."""
     made = fingerprints.edited_fingerprints(documents(spark, sf_dir))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", hex64("fp").alias("fingerprint"),
@@ -52,25 +54,30 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and template found; null, empty and short texts match nothing."""
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row; null and empty texts have fingerprint zero and link like any other."""
     return near_dedup.near_dedup(documents(spark, sf_dir)).select(
         "doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; null counts as empty, rows of one doc_id and equal text are one."""
     marked = exact_dedup.exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return marked.select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece; a null text is its end id alone, repeated rows are packed each."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row; texts that are null or without a letter are `und`, ties go to the first language."""
     docs = documents(spark, sf_dir)
     model = language_id.train(docs.filter(id_fold(4) != 2))
     return language_id.identify(docs.select("doc_id", "text"), model).select(
@@ -79,10 +86,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row; a null or blank text is its end alone, a null id falls into a fold as the empty text."""
     return context_tree.score_texts(documents(spark, sf_dir), id_fold(10) != 0)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row as read back from the files; null ids come first, a null text is its end id alone."""
     path = shared_folder(spark, "token-ids")
     simple8b.write_ids(documents(spark, sf_dir), path)
     return simple8b.read_ids(spark, path)
