@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -30,6 +31,7 @@ _MARK = "▁"
 _BEGUN = -2
 _REMEMBERED = 1 << 18
 _TOGETHER = 1 << 10
+_WORDS_AT_ONCE = 1 << 16
 
 
 def vocabulary(name: str = PIECES) -> list[str]:
@@ -260,32 +262,41 @@ def _predict(batches, model):
         values[len(known):len(known) + len(listed)] = segmenter.log_likelihoods(listed)
         known.update(zip(listed, range(len(known), len(known) + len(listed))))
 
-    def totals(texts: list[list[str]]) -> list[np.ndarray]:
-        """Summed log likelihoods of the words of each text; words met before are looked up."""
-        out = [np.zeros(len(languages)) for _ in texts]
-        step = _REMEMBERED >> 2
-        parts = [(i, found[at:at + step]) for i, found in enumerate(texts) for at in range(0, len(found), step)]
-        while parts:
-            count, held = 0, 0
-            while count < len(parts) and (not count or held + len(parts[count][1]) <= step):
-                held += len(parts[count][1])
-                count += 1
-            now, parts = parts[:count], parts[count:]
-            wanted = set().union(*(p for _, p in now))
-            new = wanted.difference(known)
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = wanted
-            learn(new)
-            for i, part in now:
-                out[i] += values[[known[w] for w in part]].sum(axis=0)
-        return out
+    def add_up(parts: list[tuple[np.ndarray, list[str]]]) -> None:
+        """Add the log likelihoods of each part's words to its total; words met before are looked up."""
+        wanted = set().union(*(part for _, part in parts))
+        new = wanted.difference(known)
+        if len(known) + len(new) > _REMEMBERED:
+            known.clear()
+            new = wanted
+        learn(new)
+        for total, part in parts:
+            total += values[[known[w] for w in part]].sum(axis=0)
+
+    def totals(texts) -> Iterator[np.ndarray | None]:
+        """Per text the summed log likelihoods of its words (none: null), some `_WORDS_AT_ONCE` words at a time."""
+        done: list[np.ndarray | None] = []
+        parts: list[tuple[np.ndarray, list[str]]] = []
+        held = 0
+        for text in texts:
+            found = words(text.as_py()) if languages else []
+            done.append(np.zeros(len(languages)) if found else None)
+            for at in range(0, len(found), _WORDS_AT_ONCE):
+                parts.append((done[-1], found[at:at + _WORDS_AT_ONCE]))
+                held += len(parts[-1][1])
+                if held >= _WORDS_AT_ONCE:
+                    add_up(parts)
+                    parts, held = [], 0
+            if not held:
+                yield from done
+                done = []
+        add_up(parts)
+        yield from done
 
     for batch in batches:
         names, scores = [], []
-        texts = [words(text) if languages else [] for text in batch.column(1).to_pylist()]
-        for found, total in zip(texts, totals(texts)):
-            if not found:
+        for total in totals(batch.column(1)):
+            if total is None:
                 names.append("und")
                 scores.append(0.0)
                 continue
