@@ -2,9 +2,11 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def test_embed_hashed_many_rows_and_empty_frame(spark):
     assert infer.embed_hashed(many.limit(0), 8).count() == 0
 
 
+def test_stand_ins_take_a_batch_in_bounded_steps(spark):
+    """One Arrow batch of 900,000 words: memory of a step stays far below that of the whole batch."""
+    batch = pa.array([["a", "b", "a"] * 100] * 2999 + [[], ["c"] * (infer._WORDS_AT_ONCE + 1)]).slice(1)
+    steps = list(infer._slices(batch, 1000))
+    assert pa.concat_arrays(steps).equals(batch)
+    assert all(len(s.flatten()) <= infer._WORDS_AT_ONCE or len(s) == 1 for s in steps)
+    assert max(map(len, steps)) <= 1000
+    tracemalloc.start()
+    for some in steps:
+        infer._unit_counts(some, 8, {})
+    assert tracemalloc.get_traced_memory()[1] < 8 * 2 * len(batch.flatten())
+    tracemalloc.stop()
+    rows = spark.range(3000).selectExpr(
+        "string(id) AS review_id", "repeat(if(id % 2 = 0, 'the a ', 'from and '), 150) AS texto_completo").coalesce(1)
+    vectors = infer.embed_hashed(rows, 8).groupBy(F.expr("int(review_id) % 2"), "embedding").count()
+    assert sorted(r["count"] for r in vectors.collect()) == [1500, 1500]
+    answers = parse.enrich(infer.classify_lexicon(rows, LEXICON, POLARITY))
+    got = answers.groupBy(F.expr("int(review_id) % 2").alias("odd"), "assunto", "sentimento").count()
+    assert tuples(got, "odd") == [(0, "caimento", "neutro", 1500), (1, "tamanho", "negativo", 1500)]
+
+
 def test_embedding_is_computed_once(spark):
     cells = infer.embedding_cells(infer.embed_hashed(texts(spark), 8))
     assert plan(cells).count("ArrowEvalPython") == 1
