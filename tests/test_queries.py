@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin, and figures known in advance."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tools.check import connect, rows_of
 from vocspark.plans import fixtures as fx
 from vocspark.plans import oracles
 from vocspark.plans.queries import queries
+from vocspark.sources import reviews_csv, scratch
 
 SMALL, MIDDLE, LARGE = (f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1"))
 
@@ -64,3 +67,19 @@ def test_totals_agree(spark):
 def test_unused_label_join_is_left_out(spark):
     assert "labels" not in optimized(queries()["topic_summary"](spark, SMALL))
     assert "Join" not in optimized(queries()["topic_summary"](spark, SMALL))
+
+
+def test_audit_columns_reads_no_larger_files_from_larger_tables(spark):
+    made = len(scratch._made)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        splits = fx.table(spark, MIDDLE, "documents").rdd.getNumPartitions()
+        audited = queries()["audit_columns"](spark, MIDDLE)
+        assert audited.filter("own_file AND has_ts").count() == audited.count() == 2000
+        folder = scratch._made[made]
+        files = [f for f in os.listdir(folder) if f.endswith(".csv")]
+        assert splits > 8 and len(files) == 2 * splits
+        lines = reviews_csv._lines(spark, folder, None)
+        assert lines.rdd.getNumPartitions() >= 2 * len(files)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
