@@ -5,9 +5,11 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from vocspark.llm import (
-    context_tree, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing, registry,
+    context_tree, encoding, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing, registry,
     simple8b, token_counts,
 )
 from vocspark.llm.encoding import BYTE_VOCABULARY, WORD_VOCABULARY, PieceEncoder
@@ -76,6 +78,30 @@ def test_ids_as_the_library_gives(vocabulary, text):
 ENCODERS: dict = {}
 
 
+@pytest.mark.parametrize("vocabulary", [BYTE_VOCABULARY, WORD_VOCABULARY])
+@settings(max_examples=100, deadline=None, derandomize=True)
+@given(st.lists(st.one_of(st.none(), st.text(st.one_of(
+    st.characters(exclude_categories=["Cs"]), st.sampled_from("'sltre \n\t AbÉß1²<|>\xa0’İ,.-")), max_size=40))))
+def test_ids_of_many_texts_side_by_side(vocabulary, texts):
+    encoder = ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
+    found = encoder.all_ids(pa.array(["x", *texts, None], pa.string()).slice(1))
+    assert [f.tolist() for f in found] == [encoder.whole(t or "") for t in [*texts, None]]
+
+
+@pytest.mark.parametrize("remembered, asked", [(1 << 20, 1), (2, 40)])
+def test_units_are_coded_once_while_they_are_remembered(monkeypatch, remembered, asked):
+    monkeypatch.setattr(encoding, "_REMEMBERED", remembered)
+    monkeypatch.setattr(encoding, "_BYTES_AT_ONCE", 20)
+    encoder, coded = PieceEncoder(WORD_VOCABULARY), Counter()
+    library = encoder.model
+    encoder.model = SimpleNamespace(tokenize=lambda p: coded.update([p]) or library.tokenize(p))
+    texts = ["The cat, the cat. 12", " cat!\n", "", "no dog's tail at all"] * 40
+    for _ in range(2):
+        assert [f.tolist() for f in encoder.all_ids(pa.array(texts))] == [encoder.whole(t) for t in texts]
+    assert coded["dog"] == (1 if asked == 1 else 80) and coded["cat"] <= 5 * asked
+    assert encoding.worker_encoder(WORD_VOCABULARY) is encoding.worker_encoder(WORD_VOCABULARY)
+
+
 def test_counts(corpus):
     docs, rows = corpus
     encoder = PieceEncoder(BYTE_VOCABULARY)

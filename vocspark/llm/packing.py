@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import stored
-from vocspark.llm.encoding import WORD_VOCABULARY, PieceEncoder
+from vocspark.llm.encoding import WORD_VOCABULARY, worker_encoder
 
 CAPACITY = 4096
 END = 1
@@ -34,12 +34,12 @@ _PIECES = ("doc_id long, piece int, start long, length int, ids_crc32 long, part
 
 
 def _pieces(batches, vocabulary: str, end: int, capacity: int):
-    encoder, part = PieceEncoder(vocabulary), TaskContext.get().partitionId()
+    encoder, part = worker_encoder(vocabulary), TaskContext.get().partitionId()
     seen: Counter[int] = Counter()
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.append(encoder.ids(text), np.uint32(end)).astype("<u4")
+        for doc_id, found in zip(batch.column(0).to_pylist(), encoder.all_ids(batch.column(1))):
+            ids = np.append(found, np.uint32(end)).astype("<u4")
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 cut = ids[start:start + capacity]
                 rows.append((doc_id, piece, start, len(cut), zlib.crc32(cut.tobytes()), part,
