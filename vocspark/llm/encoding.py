@@ -36,7 +36,7 @@ _UNCOMMON_RE2 = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}\x{2010}-\x{2027}]|<\|"
 _WORD_AND_MARKS = r"^(?P<word> ?[A-Za-z]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 _UNIT = re.compile(r"\s*\S+|\s+")
 _REMEMBERED = 1 << 20
-_BYTES_AT_ONCE = 1 << 24
+_BYTES_AT_ONCE = 1 << 23
 
 # the letters that byte-level vocabularies write for bytes: printable ones stand for themselves,
 # all others count up from 256

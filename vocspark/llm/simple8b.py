@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocspark.llm.encoding import BYTE_VOCABULARY, PieceEncoder
+from vocspark.llm.encoding import BYTE_VOCABULARY, worker_encoder
 
 MAGIC = b"S8B1"
 GROUP = 1024
@@ -33,11 +33,14 @@ _HEAD = "<4sIIIQ"
 LAYOUTS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
            (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (1, 60), (1, 64)]
 ESCAPE = 15
+_EXACT = 1 << 53  # below, a float holds every integer
 _COUNTS = np.array([n for n, _ in LAYOUTS], np.int64)
 
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if not len(values) or values.max() < _EXACT:
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     found = np.zeros(len(values), np.uint8)
     rest = values
     for half in (32, 16, 8, 4, 2, 1):
@@ -142,7 +145,7 @@ _BLOCKS = pa.schema([
 
 
 def _encode(batches, vocabulary: str, end: int):
-    encoder, part, block = PieceEncoder(vocabulary), TaskContext.get().partitionId(), 0
+    encoder, part, block = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
     doc_ids: list[int | None] = []
     parts: list[np.ndarray] = []
     held = 0
@@ -154,8 +157,8 @@ def _encode(batches, vocabulary: str, end: int):
             "data": write_block([len(p) for p in parts], ids)}], _BLOCKS)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.append(encoder.ids(text), np.uint32(end))
+        for doc_id, found in zip(batch.column(0).to_pylist(), encoder.all_ids(batch.column(1))):
+            ids = np.append(found, np.uint32(end))
             doc_ids.append(doc_id)
             parts.append(ids)
             held += len(ids)
